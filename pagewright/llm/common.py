@@ -106,3 +106,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def crc_mod(doc_id: str, mod: int):
     """crc32 of the id's text modulo ``mod``; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % mod, F.lit(-1))
+
+
+def filter_rows(df: DataFrame, make: Callable[[], Callable], *columns: str) -> DataFrame:
+    """Keeps the rows for which the test that ``make`` builds, once a task, is true; nothing is shuffled.
+
+    The test gets the columns' values, strings as UTF-8 bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                cols = []
+                for name in columns:
+                    col = part.column(name)
+                    cols.append((col.cast(pa.binary()) if pa.types.is_string(col.type) else col.cast(pa.large_binary()) if pa.types.is_large_string(col.type) else col).to_pylist())
+                yield part.filter(pa.array([bool(test(*x)) for x in zip(*cols, strict=True)], type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
