@@ -138,9 +138,10 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: in
     pieces = turned.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block_words), F.floor((F.col("from") + F.col("size") - 1) / block_words))))
     words = F.least(F.col("from") + F.col("size"), (F.col("rank") + 1) * block_words) - F.greatest("from", F.col("rank") * block_words)
     pieces = pieces.select("number", "rank", "doc_id", "start", "size", words.alias("words"))
-    schedule = slots(targets, p).join(pieces, ["number", "rank"])
+    # both sides unfold from few rows, which misleads size estimates: neither may be broadcast
+    schedule = slots(targets, p).hint("merge").join(pieces, ["number", "rank"])
     taken = schedule.groupBy("number", "start", "size").agg(F.sum("words").alias("taken"))
-    totals = streams.join(taken, ["number", "start", "size"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    totals = streams.join(taken.hint("merge"), ["number", "start", "size"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return schedule, totals
 
 
