@@ -103,10 +103,9 @@ def filter_of(places: DataFrame) -> np.ndarray:
 
 
 def variants(docs: DataFrame, emit: DataFrame, shortest: int) -> DataFrame:
-    """(hash, at, words, keys) of the lines at the places ``emit`` lists, and of a few more.
+    """(hash, at, words, whole, without, placed) of the lines at the places ``emit`` lists, and of a few more.
 
-    keys: the hashed variants; kind 0: a place deleted, for replacements; 1: the whole line; 2: a place
-    deleted, for insertions.
+    whole: hash of all words; without: hashes of the words less one; placed: the same with the place.
     """
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(filter_of(emit))  # FILTER_BITS
@@ -121,21 +120,21 @@ def variants(docs: DataFrame, emit: DataFrame, shortest: int) -> DataFrame:
                 h = slot_of(doc_id, row, k)
                 a, b = h % FILTER_BITS, (h >> 32) % FILTER_BITS
                 if own[a >> 3] >> (a & 7) & 1 and own[b >> 3] >> (b & 7) & 1:
-                    yield digest(words), {"doc": LAST if doc_id is None else doc_id, "row": row, "line": k}, b" ".join(words), deletions(words)
+                    yield digest(words), {"doc": LAST if doc_id is None else doc_id, "row": row, "line": k}, b" ".join(words), digest(words, 3), *deletions(words)
 
-    schema = "hash long, at struct<doc:long,row:long,line:int>, words binary, keys array<struct<kind:byte,key:long>>"
+    schema = "hash long, at struct<doc:long,row:long,line:int>, words binary, whole long, without array<long>, placed array<long>"
     return map_rows(numbered(docs), run, schema, binary=("text",))
 
 
-def deletions(words: list[bytes]) -> list[dict]:
-    """The deletion neighbourhood as keys. The hash of the words without one doubles for both kinds."""
-    out = [{"kind": 1, "key": digest(words, 3)}]
+def deletions(words: list[bytes]) -> tuple[list[int], list[int]]:
+    """The deletion neighbourhood as hashes, bare and with the place."""
+    without, placed = [], []
     for k in range(len(words)):
-        rest = words[:k] + words[k + 1 :]
+        rest = b" ".join(words[:k] + words[k + 1 :])
         if not k or words[k] != words[k - 1]:  # deleting either of two equal neighbours leaves the same
-            out.append({"kind": 2, "key": digest(rest, 3)})
-        out.append({"kind": 0, "key": digest(rest, 4 + k)})
-    return out
+            without.append(signed(xxhash.xxh3_64_intdigest(rest, 3)))
+        placed.append(signed(xxhash.xxh3_64_intdigest(rest, 4 + k)))
+    return without, placed
 
 
 def duplicate_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
@@ -147,7 +146,8 @@ def duplicate_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     shared = keyed.groupBy("half").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("half")
     emit = keyed.join(shared, "half").select("hash").distinct().join(distinct, "hash").select("at.doc", "at.row", "at.line")
     near = materialize(variants(docs, emit, shortest), "variants")
-    each = near.select("hash", "at", F.explode("keys").alias("k")).select("hash", "at", "k.kind", "k.key")
+    kinds = F.concat(*[F.transform(a, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("key"))) for k, a in ((0, F.col("placed")), (1, F.array("whole")), (2, F.col("without")))])
+    each = near.select("hash", "at", F.explode(kinds).alias("k")).select("hash", "at", "k.kind", "k.key")
     whole = F.col("kind") == 1
     meets = each.groupBy("key").agg(
         F.min(F.when(F.col("kind") == 0, F.struct("at", "hash"))).alias("replaced"),
