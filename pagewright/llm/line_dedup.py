@@ -146,7 +146,8 @@ def duplicate_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     shared = keyed.groupBy("half").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("half")
     emit = keyed.join(shared, "half").select("hash").distinct().join(distinct, "hash").select("at.doc", "at.row", "at.line")
     near = materialize(variants(docs, emit, shortest), "variants")
-    kinds = F.concat(*[F.transform(a, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("key"))) for k, a in ((0, F.col("placed")), (1, F.array("whole")), (2, F.col("without")))])
+    tagged = lambda kind, keys: F.transform(keys, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+    kinds = F.concat(tagged(0, F.col("placed")), tagged(1, F.array("whole")), tagged(2, F.col("without")))
     each = near.select("hash", "at", F.explode(kinds).alias("k")).select("hash", "at", "k.kind", "k.key")
     whole = F.col("kind") == 1
     meets = each.groupBy("key").agg(
