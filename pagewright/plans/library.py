@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import images  # noqa: F401  registers its queries
+from . import images, shapes  # noqa: F401  they register their queries
 from .base import QUERIES, SQL
 
 
