@@ -53,7 +53,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], sc
                 cols = []
                 for name, col in zip(names, part.columns, strict=True):
                     if name in binary:
-                        col = col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary())
+                        col = as_bytes(col)
                     cols.append(col.to_pylist())
                 yield from zip(*cols, strict=True)
 
@@ -73,6 +73,11 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], sc
     return df.mapInArrow(run, schema)
 
 
+def as_bytes(col: pa.Array) -> pa.Array:
+    """A string column as UTF-8 bytes, without a copy."""
+    return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary())
+
+
 def batch_of(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     cols = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
@@ -122,7 +127,7 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable], *columns: str) -> D
                 cols = []
                 for name in columns:
                     col = part.column(name)
-                    cols.append((col.cast(pa.binary()) if pa.types.is_string(col.type) else col.cast(pa.large_binary()) if pa.types.is_large_string(col.type) else col).to_pylist())
+                    cols.append((as_bytes(col) if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else col).to_pylist())
                 yield part.filter(pa.array([bool(test(*x)) for x in zip(*cols, strict=True)], type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
