@@ -222,7 +222,7 @@ def colorize(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame, str]
     while True:
         left = rank if done is None else rank.join(done, "id", "left_anti")
         if left.isEmpty():
-            return done
+            return rank.select("id", F.lit(0).alias("color")) if done is None else done
         rival = both.join(left.select(F.col("id").alias("dst"), F.col("rank").alias("other")), "dst").groupBy(F.col("src").alias("id")).agg(F.max("other").alias("other"))
         turn = left.join(rival, "id", "left").where("other is null or rank > other").select("id")
         if done is None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.raster import ink, text_raster
@@ -30,8 +30,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key)
 
 
+def whole_rows(text: str, width: int):
+    """The text with spaces up to a full last row."""
+    return F.concat(F.col(text), F.repeat(F.lit(" "), F.pmod(-F.length(text), F.lit(width))))
+
+
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("image_id"), "text")
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("image_id"), whole_rows("text", 32).alias("text"))
     return text_raster(spread(c, "image_id"), "image_id", "text", 32)
 
 
@@ -50,7 +55,7 @@ def rgb(px: DataFrame) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), "text")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), whole_rows("text", 64).alias("text"))
     return text_raster(spread(d, "image_id"), "image_id", "text", 64)
 
 
@@ -72,17 +77,18 @@ def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers linked to the next supplier of the same nation, and to the nation's first: src, dst, cost, label."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    a = s.select("s_nationkey", F.col("s_suppkey").alias("src"), F.col("s_acctbal").alias("p"))
-    b = s.select("s_nationkey", F.col("s_suppkey").alias("dst"), F.col("s_acctbal").alias("q"))
-    return a.join(b, "s_nationkey").where("src < dst and (dst - src) % 7 < 4").select("src", "dst", F.abs(F.round(F.col("p") - F.col("q"), 2)).alias("cost"), F.lit("").alias("label"))
+    """Customers of a nation, numbered by key, linked to those 1, 3 and 10 further on: src, dst, cost, label."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal", F.row_number().over(w).alias("r"))
+    a = c.select("c_nationkey", F.col("c_custkey").alias("src"), F.col("c_acctbal").alias("p"), F.explode(F.array(F.col("r") + 1, F.col("r") + 3, F.col("r") + 10)).alias("r"))
+    b = c.select("c_nationkey", F.col("c_custkey").alias("dst"), F.col("c_acctbal").alias("q"), "r")
+    return a.join(b, ["c_nationkey", "r"]).select("src", "dst", F.abs(F.round(F.col("p") - F.col("q"), 2)).alias("cost"), F.lit("").alias("label"))
 
 
 CHATS = """chats AS (SELECT image_id, (k // 32)::INT AS y, (k % 32)::INT AS x, (unicode(ch) % 256)::INT AS v FROM (
-  SELECT conv_id * 1000 + turn AS image_id, unnest(string_split(text, '')) AS ch, unnest(range(len(text))) AS k FROM conversations WHERE text <> ''))"""
+  SELECT conv_id * 1000 + turn AS image_id, unnest(string_split(text, '')) AS ch, unnest(range(len(text))) AS k FROM (SELECT * REPLACE (text || repeat(' ', (32 - len(text) % 32) % 32) AS text) FROM conversations WHERE text <> '')))"""
 PAGES = """pages_ AS (SELECT image_id, (k // 64)::INT AS y, (k % 64)::INT AS x, (unicode(ch) % 256)::INT AS v FROM (
-  SELECT doc_id AS image_id, unnest(string_split(text, '')) AS ch, unnest(range(len(text))) AS k FROM documents WHERE text <> ''))"""
+  SELECT doc_id AS image_id, unnest(string_split(text, '')) AS ch, unnest(range(len(text))) AS k FROM (SELECT * REPLACE (text || repeat(' ', (64 - len(text) % 64) % 64) AS text) FROM documents WHERE text <> '')))"""
 WITH = {
     "chats": CHATS,
     "chats2": "chats2 AS (SELECT image_id, y, x, (v * 31 + 17) % 256 AS v FROM chats)",
@@ -94,7 +100,7 @@ WITH = {
     "dsize": "dsize AS (SELECT image_id, max(y) + 1 AS nrows, max(x) + 1 AS ncols FROM pages_ GROUP BY image_id)",
     "glyphs": "glyphs AS (SELECT vec_id AS id, label::VARCHAR AS class, embedding::DOUBLE[] AS f FROM embeddings)",
     "rects": "rects AS (SELECT l_suppkey AS image_id, l_orderkey * 10 + l_linenumber AS id, (l_partkey % 1000)::INT AS ulx, (l_orderkey % 1000)::INT AS uly, (l_partkey % 1000 + l_quantity::INT)::INT AS lrx, (l_orderkey % 1000 + l_linenumber * 3)::INT AS lry FROM lineitem)",
-    "edges": "edges AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, abs(round(a.s_acctbal - b.s_acctbal, 2)) AS cost FROM supplier a JOIN supplier b USING (s_nationkey) WHERE a.s_suppkey < b.s_suppkey AND (b.s_suppkey - a.s_suppkey) % 7 < 4)",
+    "edges": "ranked AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer), edges AS (SELECT a.c_custkey AS src, b.c_custkey AS dst, abs(round(a.c_acctbal - b.c_acctbal, 2)) AS cost FROM ranked a JOIN ranked b ON a.c_nationkey = b.c_nationkey AND b.r - a.r IN (1, 3, 10))",
 }
 NEEDS = {"chats2": ["chats"], "dots": ["chats"], "rgb": ["chats"], "size": ["chats"], "docs_": ["pages_"], "dsize": ["pages_"]}
 

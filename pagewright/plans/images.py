@@ -41,11 +41,11 @@ XYZ_SQL = {k: f"(({m[0]}::DOUBLE * r + {m[1]}::DOUBLE * g + {m[2]}::DOUBLE * b)
 LAB_SQL = {k: f"(CASE WHEN {XYZ_SQL[k]} / {w}::DOUBLE > 0.008856::DOUBLE THEN cbrt({XYZ_SQL[k]} / {w}::DOUBLE) ELSE 7.787::DOUBLE * {XYZ_SQL[k]} / {w}::DOUBLE + 16.0::DOUBLE / 116 END)" for k, w in zip("xyz", P.D65, strict=True)}
 add(
     "color_channels",
-    lambda s, d: rgb(chats(s, d)).select(*KEY, *[F.round(P.channel(c), 6).alias(c) for c in CHANNELS]),
+    lambda s, d: rgb(chats(s, d)).select(*KEY, *[(F.round(P.channel(c), 6) + 0.0).alias(c) for c in CHANNELS]),
     f"""SELECT image_id, y, x, r::DOUBLE AS red, g::DOUBLE AS green, b::DOUBLE AS blue, (255 - r)::DOUBLE AS cyan, (255 - g)::DOUBLE AS magenta, (255 - b)::DOUBLE AS yellow,
   round(CASE WHEN hi = lo THEN 0 WHEN h < 0 THEN h + 1 ELSE h END, 6) AS hue, round(CASE WHEN hi > 0 THEN (hi - lo)::DOUBLE / hi ELSE 0 END, 6) AS saturation, round(hi / 255.0::DOUBLE, 6) AS value,
   round({XYZ_SQL["x"]}, 6) AS cie_x, round({XYZ_SQL["y"]}, 6) AS cie_y, round({XYZ_SQL["z"]}, 6) AS cie_z,
-  round(116 * {LAB_SQL["y"]} - 16, 6) AS "cie_Lab_L", round(500 * ({LAB_SQL["x"]} - {LAB_SQL["y"]}), 6) AS "cie_Lab_a", round(200 * ({LAB_SQL["y"]} - {LAB_SQL["z"]}), 6) AS "cie_Lab_b"
+  round(116 * {LAB_SQL["y"]} - 16, 6) AS "cie_Lab_L", round(500 * ({LAB_SQL["x"]} - {LAB_SQL["y"]}), 6) + 0.0::DOUBLE AS "cie_Lab_a", round(200 * ({LAB_SQL["y"]} - {LAB_SQL["z"]}), 6) + 0.0::DOUBLE AS "cie_Lab_b"
 FROM (SELECT *, (CASE WHEN hi = lo THEN 0 WHEN hi = r THEN (g - b)::DOUBLE / (hi - lo) WHEN hi = g THEN 2 + (b - r)::DOUBLE / (hi - lo) ELSE 4 + (r - g)::DOUBLE / (hi - lo) END) / 6.0::DOUBLE AS h
   FROM (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM rgb))""",
     "rgb",

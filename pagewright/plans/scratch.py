@@ -7,23 +7,27 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
+def root(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; one of our own where it is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="pagewright-plans-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the shared folder of spark.checkpoint.dir (one of our own where it is unset) and reads it back.
+    """Writes df into the shared folder and reads it back.
 
     Iterations then don't drag their lineage along, and a lost executor costs no finished round.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="pagewright-plans-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        root = f"file://{_own[0]}"
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

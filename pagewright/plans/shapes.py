@@ -22,14 +22,14 @@ add(
 MOM = ("cx", "cy", "mu20", "mu02", "mu11", "mu30", "mu12", "mu21", "mu03")
 add(
     "moments",
-    lambda s, d: Q.moments(docs(s, d)).select("image_id", *[F.round(c, 6).alias(c) for c in MOM]),
+    lambda s, d: Q.moments(docs(s, d)).select("image_id", *[(F.round(c, 6) + 0.0).alias(c) for c in MOM]),
     """, m AS (SELECT image_id, max(y) + 1 AS nr, max(x) + 1 AS nc, greatest(sum(v), 1)::DOUBLE AS n, sum(v * x)::DOUBLE AS m10, sum(v * y)::DOUBLE AS m01, sum(v * x * x)::DOUBLE AS m20, sum(v * y * y)::DOUBLE AS m02, sum(v * x * y)::DOUBLE AS m11,
   sum(v * x::BIGINT * x * x)::DOUBLE AS m30, sum(v * x::BIGINT * y * y)::DOUBLE AS m12, sum(v * x::BIGINT * x * y)::DOUBLE AS m21, sum(v * y::BIGINT * y * y)::DOUBLE AS m03 FROM docs_ GROUP BY image_id),
 c AS (SELECT *, m10 / n AS a, m01 / n AS b FROM m)
-SELECT image_id, round(CASE WHEN nc > 1 THEN a / (nc - 1) ELSE 0.5 END, 6) AS cx, round(CASE WHEN nr > 1 THEN b / (nr - 1) ELSE 0.5 END, 6) AS cy,
-  round((m20 - a * m10) / n ** 2, 6) AS mu20, round((m02 - b * m01) / n ** 2, 6) AS mu02, round((m11 - b * m10) / n ** 2, 6) AS mu11,
-  round((m30 - 3 * a * m20 + 2 * a * a * m10) / n ** 2.5, 6) AS mu30, round((m12 - 2 * b * m11 - a * m02 + 2 * b * b * m10) / n ** 2.5, 6) AS mu12,
-  round((m21 - 2 * a * m11 - b * m20 + 2 * a * a * m01) / n ** 2.5, 6) AS mu21, round((m03 - 3 * b * m02 + 2 * b * b * m01) / n ** 2.5, 6) AS mu03 FROM c""",
+SELECT image_id, round(CASE WHEN nc > 1 THEN a / (nc - 1) ELSE 0.5 END, 6) + 0.0::DOUBLE AS cx, round(CASE WHEN nr > 1 THEN b / (nr - 1) ELSE 0.5 END, 6) + 0.0::DOUBLE AS cy,
+  round((m20 - a * m10) / n ** 2, 6) + 0.0::DOUBLE AS mu20, round((m02 - b * m01) / n ** 2, 6) + 0.0::DOUBLE AS mu02, round((m11 - b * m10) / n ** 2, 6) + 0.0::DOUBLE AS mu11,
+  round((m30 - 3 * a * m20 + 2 * a * a * m10) / n ** 2.5, 6) + 0.0::DOUBLE AS mu30, round((m12 - 2 * b * m11 - a * m02 + 2 * b * b * m10) / n ** 2.5, 6) + 0.0::DOUBLE AS mu12,
+  round((m21 - 2 * a * m11 - b * m20 + 2 * a * a * m01) / n ** 2.5, 6) + 0.0::DOUBLE AS mu21, round((m03 - 3 * b * m02 + 2 * b * b * m01) / n ** 2.5, 6) + 0.0::DOUBLE AS mu03 FROM c""",
     "docs_",
 )
 add("projection_rows", lambda s, d: Q.projection_rows(docs(s, d)), "SELECT image_id, y, sum(v)::BIGINT AS n FROM docs_ GROUP BY image_id, y", "docs_")
