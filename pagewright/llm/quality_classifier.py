@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_rows
+from .common import crc_mod, map_rows, smallest_hashes
 
 #: Bounds of what the classifier is fitted on: labelled documents of a class for its dictionary,
 #: pieces of them and bytes of a piece, and documents for the calibration.
@@ -56,19 +56,32 @@ class Features:
 
 
 class Calibration:
-    """Ridge logistic regression, fitted by Newton's method."""
+    """Ridge logistic regression by Newton's method; a step that doesn't raise the penalised likelihood is halved."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.05):
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         self.mean[0], self.scale[0] = 0, 1
         z = (x - self.mean) / self.scale
         self.w = np.zeros(z.shape[1])
-        for _ in range(40):
+
+        def value(w: np.ndarray) -> float:
+            t = z @ w
+            return float((y * t - np.logaddexp(0, t)).sum() - ridge / 2 * w @ w)
+
+        now = value(self.w)
+        for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
             h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(self.w))
             step = np.linalg.solve(h, z.T @ (y - p) - ridge * self.w)
-            self.w += step
-            if np.abs(step).max() < 1e-8:
+            for _ in range(30):
+                new = value(self.w + step)
+                if new > now:
+                    break
+                step = step / 2
+            else:
+                break
+            self.w, gain, now = self.w + step, new - now, new
+            if gain < 1e-9 * max(1.0, abs(now)):
                 break
 
     def score(self, x: list[float]) -> float:
@@ -85,9 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1) -> tupl
     rest = crc_mod("doc_id", mod)
     usable = labels.where((rest != held) & (rest >= 0)).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality is not null")
     usable = usable.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))).withColumn("order", F.xxhash64("doc_id", F.lit("fit")))
-    smallest = lambda df, n: df.orderBy("order", "doc_id").limit(n)
-    picked = smallest(usable.where("half = 0 and quality = 1"), DICTIONARY_DOCS).unionByName(smallest(usable.where("half = 0 and quality <> 1"), DICTIONARY_DOCS))
-    ids = picked.unionByName(smallest(usable.where("half = 1"), CALIBRATION_DOCS)).withColumnRenamed("doc_id", "own").select("own", "quality", "half")
+    picked = smallest_hashes(usable.where("half = 0 and quality = 1"), DICTIONARY_DOCS).unionByName(smallest_hashes(usable.where("half = 0 and quality <> 1"), DICTIONARY_DOCS))
+    ids = picked.unionByName(smallest_hashes(usable.where("half = 1"), CALIBRATION_DOCS)).withColumnRenamed("doc_id", "own").select("own", "quality", "half")
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("own"))  # bounded by the limits above
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
