@@ -38,6 +38,8 @@ BOILERPLATE = frozenset(
     " reply replies disqus discussion share sharing social related recommended trending pagination pager copyright legal skip search toolbar".split()
 )
 ENDS_P = frozenset("address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Elements of running text: inside the article's element they are content whatever their ratio.
+TEXT_LEAVES = frozenset("p li blockquote pre td th dd dt figcaption h1 h2 h3 h4 h5 h6".split())
 PUNCT = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
@@ -104,11 +106,9 @@ def blocks(page: str) -> list[Block]:
     for m in TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
-        if m[3] is None:
+        if m[3] is None:  # a comment, a declaration, or an element whose content isn't text
             if m[0].startswith("<![CDATA["):
                 text(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
-            elif m[1] is None:
-                continue
             continue
         tag = m[3].lower()
         if m[2]:
@@ -138,8 +138,6 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or m[4].endswith("/") and tag not in INLINE | ENDS_P:
             continue
         dropped = boilerplate(tag, m[4], [t for t, _ in stack])
-        if dropped and tag in INLINE and not hidden:
-            pass
         stack.append((tag, dropped))
         hidden += dropped
         links += tag == "a"
@@ -170,7 +168,7 @@ def content_paths(found: list[Block], threshold: float = 0.35) -> set[tuple[str,
     held: dict[tuple, float] = defaultdict(float)
     for p in level:
         for depth in range(1, len(p) + 1):
-            held[p[:depth]] += level[p] * count[p] if depth < len(p) or count[p] else 0
+            held[p[:depth]] += level[p] * count[p]
     total = sum(level[p] * count[p] for p in level)
     roots = [p for p in held if p[-1] in ("article", "main")]
     if roots:
@@ -179,7 +177,8 @@ def content_paths(found: list[Block], threshold: float = 0.35) -> set[tuple[str,
     inner = [p for p in held if held[p] >= 0.6 * total and any(q != p and q[: len(p)] == p for q in level)]
     root = max(inner, key=len, default=())
     most = max(level.values(), default=0.0)
-    return {p for p in level if p[: len(root)] == root and (level[p] >= threshold * most or p[-1][:1] == "h" and p[-1][1:].isdigit() or p[-1] in ("p", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption"))}
+    leaf = lambda p: p[-1] if p else ""
+    return {p for p in level if p[: len(root)] == root and (level[p] >= threshold * most or leaf(p) in TEXT_LEAVES)}
 
 
 def extract(page: str | None) -> str:

@@ -141,7 +141,7 @@ def accepted_cutoff(counts: dict[int, int], n: int, size: int, alpha: float, del
     return got
 
 
-def select_cutoffs(levels: DataFrame, alpha: float = 0.05, delta: float = 0.1) -> tuple[DataFrame, int]:
+def select_cutoffs(levels: DataFrame, alpha: float = 0.02, delta: float = 0.1) -> tuple[DataFrame, int]:
     """levels: rows of good documents (stratum, one column of ``level`` per rule).
 
     Returns (stratum, cut: index of the accepted cutoff per rule, -1 where none) and the number of strata.
@@ -164,7 +164,7 @@ def select_cutoffs(levels: DataFrame, alpha: float = 0.05, delta: float = 0.1) -
     return hist.groupBy("stratum").applyInPandas(pick, "stratum string, cut array<int>"), strata
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.1, max_broadcast: int = 50_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.1, max_broadcast: int = 50_000) -> DataFrame:
     """Base statistics, the base rule and the risk-controlled verdict, one row per row of ``docs``.
 
     Null text counts as empty (base_failed). A null stratum is a stratum of its own. Strata without
