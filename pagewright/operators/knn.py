@@ -216,3 +216,31 @@ def simple_feature_selector(train: DataFrame, sizes: list[int], n: int, k: int =
             r = accuracy(train, k, kind, selections=mask).first()
             rows.append(("".join(map(str, mask)), r["correct"], r["total"]))
     return spark.createDataFrame(rows, "mask string, correct long, total long")
+
+
+# --- saving and settings ---------------------------------------------------------------------------
+
+
+def serialize(train: DataFrame, path: str, settings: dict | None = None) -> None:
+    """Training rows as Parquet under <path>/train and settings (k, distance, weights, selections) as JSON under <path>/settings."""
+    import json
+
+    train.write.mode("overwrite").parquet(f"{path}/train")
+    spark = train.sparkSession
+    spark.createDataFrame([(json.dumps(settings or {}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+
+
+def unserialize(spark, path: str) -> tuple[DataFrame, dict]:
+    import json
+
+    return spark.read.parquet(f"{path}/train"), json.loads(spark.read.text(f"{path}/settings").first()["value"])
+
+
+def by_feature(layout: dict[str, int], values: dict[str, list]) -> list:
+    """A flat vector of weights or selections from values by feature; features lie in the order of their names, 1 where not given."""
+    return [x for name in sorted(layout) for x in values.get(name, [1] * layout[name])]
+
+
+def delimited(train: DataFrame, separator: str = ",") -> DataFrame:
+    """(line): features and class of each row."""
+    return train.select(F.concat_ws(separator, F.transform("features", lambda x: x.cast("string")), F.col("class")).alias("line"))

@@ -240,3 +240,27 @@ def kise_block_extraction(ccs: DataFrame, keep: Callable[[DataFrame, str], DataF
     stars = connected_components(kept.select(node("a_id").alias("a"), node("b_id").alias("b")), keep)
     own = ccs.select("image_id", "id").withColumn("node", F.struct("image_id", "id"))
     return own.join(stars, "node", "left").select("image_id", "id", F.coalesce("root.id", "id").alias("root"))
+
+
+def graph_color_ccs(labelled: DataFrame, keep: Callable[[DataFrame, str], DataFrame], colors: int = 6) -> DataFrame:
+    """(image_id, y, x, v): components coloured from 1 so that neighbours in the area Voronoi diagram differ; white stays 0."""
+    from ..sources.raster import by_image
+    from . import kernels
+    from .graph import colorize
+
+    # labels become small numbers within their image before the rasters are grown
+    n = Window.partitionBy("image_id").orderBy("v")
+    numbers = labelled.where("v > 0").select("image_id", "v").distinct().withColumn("n", F.row_number().over(n))
+    small = labelled.join(numbers, ["image_id", "v"], "left").select("image_id", "y", "x", F.coalesce("n", F.lit(0)).cast("int").alias("v"))
+    pairs = labeled_region_neighbors(by_image(small, kernels.voronoi_from_labeled_image))
+    node = lambda c: F.struct("image_id", F.col(c).cast("long").alias("n"))
+    edges = pairs.select(node("a").alias("src"), node("b").alias("dst"))
+    found = colorize(numbers.select(node("n").alias("id")), edges, keep, colors)
+    of = found.select("id.image_id", F.col("id.n").cast("int").alias("v"), (F.col("color") + 1).alias("c"))
+    return small.join(of, ["image_id", "v"], "left").select("image_id", "y", "x", F.coalesce("c", F.lit(0)).alias("v"))
+
+
+def section_stats(glyphs: DataFrame) -> DataFrame:
+    """(image_id, section, n, mean and deviation of the glyphs' widths and heights)."""
+    w, h = F.col("lrx") - F.col("ulx") + 1, F.col("lry") - F.col("uly") + 1
+    return glyphs.groupBy("image_id", "section").agg(F.count("*").alias("n"), F.avg(w).alias("width"), F.stddev_samp(w).alias("width_sd"), F.avg(h).alias("height"), F.stddev_samp(h).alias("height_sd"))

@@ -154,3 +154,5 @@ add("nested_list_round_trip", lambda s, d: R.from_nested_list(R.to_nested_list(R
 add("to_nested_list", lambda s, d: R.to_nested_list(chats(s, d)).select("image_id", F.to_json("rows").alias("rows")))
 add("to_raw_string", lambda s, d: R.to_raw_string(chats(s, d)).select("image_id", "nrows", "ncols", F.md5("data").alias("digest")), "SELECT image_id, max(y) + 1 AS nrows, max(x) + 1 AS ncols, md5(unhex(string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY y, x))) AS digest FROM chats GROUP BY image_id", "chats")
 add("raw_string_round_trip", lambda s, d: R.from_raw_string(R.to_raw_string(chats(s, d))), "SELECT image_id, y, x, v FROM chats", "chats")
+add("to_rgb_string", lambda s, d: R.to_rgb_string(rgb(chats(s, d))).select("image_id", F.md5("data").alias("digest")), "SELECT image_id, md5(unhex(string_agg(lpad(to_hex(r), 2, '0') || lpad(to_hex(g), 2, '0') || lpad(to_hex(b), 2, '0'), '' ORDER BY y, x))) AS digest FROM rgb GROUP BY image_id", "rgb")
+add("draw_cc", lambda s, d: flat(P.highlight(rgb(chats(s, d)), R.ink(chats2(s, d), 127), None).withColumn("v", F.coalesce("v", F.struct(F.lit(255).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))))), "SELECT image_id, y, x, CASE WHEN p.v > 127 THEN 255 ELSE r END AS r, CASE WHEN p.v > 127 THEN 0 ELSE g END AS g, CASE WHEN p.v > 127 THEN 0 ELSE b END AS b FROM rgb JOIN chats2 p USING (image_id, y, x)", "rgb chats2")

@@ -102,3 +102,15 @@ add("kernel_density", lambda s, d: L.kernel_density(table(s, d, "supplier"), "s_
 add("group_list", lambda s, d: glyphs(s, d).select("id", F.posexplode(L.group_list("features", 10)).alias("k", "part")).select("id", "k", F.size("part").alias("n")), "SELECT id, k::INT AS k, (CASE WHEN k = 6 THEN 4 ELSE 10 END)::INT AS n FROM glyphs, (SELECT unnest(range(7)) AS k)", "glyphs")
 add("rangeeq", lambda s, d: rects(s, d).select("id", L.rangeeq(F.col("ulx"), F.col("uly"), 10.0, 360.0).alias("near")), "SELECT id, least(abs(ulx - uly) % 360, 360 - abs(ulx - uly) % 360) <= 10 AS near FROM rects", "rects")
 add("byte_size", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", L.byte_size("l_partkey").alias("size")))
+
+
+def knn_round_trip(s, d):
+    from .files import folder
+
+    f = folder(s)
+    knn.serialize(glyphs(s, d), f, {"k": 3, "distance": "city_block"})
+    train, settings = knn.unserialize(s, f)
+    return train.select("id", "class", F.lit(settings["k"]).cast("int").alias("k"))
+
+
+add("knn_serialize_round_trip", knn_round_trip, "SELECT id, class, 3 AS k FROM glyphs", "glyphs")

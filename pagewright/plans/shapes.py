@@ -225,3 +225,10 @@ add(
 add("corelation_sum", lambda s, d: G.corelation_sum(dots(s, d), T, 0, 2).withColumn("score", F.round("score", 9)), f"SELECT image_id, round(sum(abs(v - t))::DOUBLE / 3, 9) AS score FROM dots JOIN {CELLS} ON y = ty AND x = tx GROUP BY image_id", "dots")
 add("corelation_sum_squares", lambda s, d: G.corelation_sum(dots(s, d), T, 0, 2, True).withColumn("score", F.round("score", 9)), f"SELECT image_id, round(sum((v - t) ** 2)::DOUBLE / 3, 9) AS score FROM dots JOIN {CELLS} ON y = ty AND x = tx + 2 GROUP BY image_id", "dots")
 add("shaped_grouping", lambda s, d: G.shaped_grouping(S.cc_analysis(R.ink(chats2(s, d), 225), keep), 3.0).select("image_id", "a", "b"))
+add("graph_color_ccs", lambda s, d: S.graph_color_ccs(S.cc_analysis(R.ink(chats2(s, d), 225), keep), keep, 12))
+add(
+    "section_stats",
+    lambda s, d: S.section_stats(rects(s, d).withColumn("section", F.col("id") % 3)).select("image_id", "section", "n", *[F.round(c, 6).alias(c) for c in ("width", "width_sd", "height", "height_sd")]),
+    "SELECT image_id, id % 3 AS section, count(*) AS n, round(avg(lrx - ulx + 1), 6) AS width, round(stddev_samp(lrx - ulx + 1), 6) AS width_sd, round(avg(lry - uly + 1), 6) AS height, round(stddev_samp(lry - uly + 1), 6) AS height_sd FROM rects GROUP BY ALL",
+    "rects",
+)

@@ -59,6 +59,13 @@ def to_raw_string(px: DataFrame) -> DataFrame:
     return cells.select("image_id", "nrows", "ncols", F.unhex(F.array_join(F.transform("c", lambda s: F.lpad(F.hex(s["v"]), 2, "0")), "")).alias("data"))
 
 
+def to_rgb_string(px: DataFrame) -> DataFrame:
+    """(image_id, data): three bytes a pixel in raster order, from RGB px."""
+    part = F.concat(*[F.lpad(F.hex(F.col(f"v.{c}")), 2, "0") for c in "rgb"])
+    cells = px.select("image_id", F.struct("y", "x", part.alias("h")).alias("c")).groupBy("image_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return cells.select("image_id", F.unhex(F.array_join(F.transform("c", lambda s: s["h"]), "")).alias("data"))
+
+
 def from_raw_string(df: DataFrame) -> DataFrame:
     """px from (image_id, nrows, ncols, data)."""
     hexed = df.select("image_id", "ncols", F.posexplode(F.split(F.regexp_replace(F.hex("data"), "(..)(?!$)", "$1,"), ",")).alias("k", "b")).where("b <> ''")
