@@ -60,6 +60,18 @@ def boilerplate(tag: str, attrs: str, inside: list[str]) -> bool:
     return False
 
 
+def step(tag: str, attrs: str) -> str:
+    """The tag, with its class and id where it has any, so that differently named siblings have paths of their own."""
+    if not attrs or tag in INLINE:
+        return tag
+    names = [m[1] or m[2] or m[3] or "" for m in NAMES.finditer(attrs)]
+    return f"{tag} {' '.join(names)}" if names else tag
+
+
+def tag_of(path: tuple[str, ...]) -> str:
+    return path[-1].split(" ", 1)[0] if path else ""
+
+
 class Block:
     __slots__ = ("linked", "path", "text")
 
@@ -70,14 +82,14 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Blocks of text in page order, boilerplate elements left out. The path holds block elements only."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # tag, whether it starts boilerplate
+    stack: list[tuple[str, bool, str]] = []  # tag, whether it starts boilerplate, step of the path
     pieces: list[str] = []
     linked = 0
     hidden = 0
     links = 0
 
     def path() -> tuple[str, ...]:
-        return tuple(t for t, _ in stack if t not in INLINE)
+        return tuple(named for t, _, named in stack if t not in INLINE)
 
     def flush() -> None:
         nonlocal linked
@@ -90,7 +102,7 @@ def blocks(page: str) -> list[Block]:
 
     def pop(to: int) -> None:
         nonlocal hidden, links
-        for tag, dropped in stack[to:]:
+        for tag, dropped, _ in stack[to:]:
             hidden -= dropped
             links -= tag == "a"
         del stack[to:]
@@ -137,8 +149,8 @@ def blocks(page: str) -> list[Block]:
                 k -= 1
         if tag in VOID or m[4].endswith("/") and tag not in INLINE | ENDS_P:
             continue
-        dropped = boilerplate(tag, m[4], [t for t, _ in stack])
-        stack.append((tag, dropped))
+        dropped = boilerplate(tag, m[4], [t for t, *_ in stack])
+        stack.append((tag, dropped, step(tag, m[4])))
         hidden += dropped
         links += tag == "a"
     text(page[at:])
@@ -170,15 +182,14 @@ def content_paths(found: list[Block], threshold: float = 0.35) -> set[tuple[str,
         for depth in range(1, len(p) + 1):
             held[p[:depth]] += level[p] * count[p]
     total = sum(level[p] * count[p] for p in level)
-    roots = [p for p in held if p[-1] in ("article", "main")]
+    roots = [p for p in held if tag_of(p) in ("article", "main")]
     if roots:
         root = max(roots, key=lambda p: (held[p], len(p)))
         return {p for p in level if p[: len(root)] == root}
     inner = [p for p in held if held[p] >= 0.6 * total and any(q != p and q[: len(p)] == p for q in level)]
     root = max(inner, key=len, default=())
     most = max(level.values(), default=0.0)
-    leaf = lambda p: p[-1] if p else ""
-    return {p for p in level if p[: len(root)] == root and (level[p] >= threshold * most or leaf(p) in TEXT_LEAVES)}
+    return {p for p in level if p[: len(root)] == root and (level[p] >= threshold * most or tag_of(p) in TEXT_LEAVES)}
 
 
 def extract(page: str | None) -> str:

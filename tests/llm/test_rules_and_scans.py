@@ -61,7 +61,7 @@ def test_rules_reject_only_what_the_holdout_allows(spark):
     good = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(80))
     bad = lambda: " ".join("#" + rng.choice("abcdef") * 2 for _ in range(80))
     rows = [(i, good(), "en", 1) for i in range(700)] + [(1000 + i, good(), None, None) for i in range(5)] + [(2000 + i, bad(), "en", None) for i in range(20)] + [(3000, None, "en", 1), (3001, "", "fr", 1)]
-    got = {r["doc_id"]: r for r in R.quality_rules(*labelled(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in R.quality_rules(*labelled(spark, rows), alpha=0.05).collect()}
     assert len(got) == len(rows) and not got[3000]["kept"] and got[3000]["base_failed"]
     assert sum(got[i]["kept"] for i in range(700)) >= 0.95 * 700
     assert not any(got[2000 + i]["kept"] for i in range(20))
