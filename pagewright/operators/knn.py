@@ -74,7 +74,7 @@ def majority(near: DataFrame) -> DataFrame:
 CONFIDENCES = ("default", "knnfraction", "inverseweight", "linearweight", "nun", "nndistance", "avgdistance")
 
 
-def confidences(near: DataFrame, winners: DataFrame, k: int, max_distance: DataFrame | None = None) -> DataFrame:
+def confidences(near: DataFrame, winners: DataFrame, k: int) -> DataFrame:
     """Seven confidence measures of each winner.
 
     default (1 - d1 / dk)^10; knnfraction n / k; inverseweight and linearweight the winner's share of weights
@@ -88,8 +88,6 @@ def confidences(near: DataFrame, winners: DataFrame, k: int, max_distance: DataF
     inv = 1 / F.greatest("d", F.lit(1e-10))
     lin = F.when(F.col("dk") > F.col("d1"), (F.col("dk") - F.col("d")) / (F.col("dk") - F.col("d1"))).otherwise(1.0)
     one = F.max("dk")
-    share = lambda x: F.when(x == 0, 0.0)
-    del share
     return w.groupBy("q", "win").agg(
         F.when(one > 0, F.pow(1 - F.min("d") / one, F.lit(10.0))).otherwise(1.0).alias("default"),
         (F.sum(own.cast("int")) / k).alias("knnfraction"),

@@ -58,10 +58,9 @@ def projection_cutting(px: DataFrame, tx: int = 0, ty: int = 0, noise: int = 0)
 
 def runlength_smearing(px: DataFrame, cx: int, cy: int, csm: int) -> DataFrame:
     """Fills white runs of at most cx columns and cy rows, keeps what both fill, then fills rows by csm."""
-    fill = lambda df, n, direction: fill_white(df, n, direction)
-    a, b = fill(px, cx, "horizontal"), fill(px, cy, "vertical")
+    a, b = fill_white(px, cx, "horizontal"), fill_white(px, cy, "vertical")
     both = a.join(b.withColumnRenamed("v", "w"), ["image_id", "y", "x"]).select("image_id", "y", "x", ((F.col("v") > 0) & (F.col("w") > 0)).cast("int").alias("v"))
-    return fill(both, csm, "horizontal")
+    return fill_white(both, csm, "horizontal")
 
 
 def fill_white(px: DataFrame, most: int, direction: str) -> DataFrame:

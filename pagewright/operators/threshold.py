@@ -109,7 +109,7 @@ def bernsen_threshold(px: DataFrame, region: int = 5, contrast: int = 15, doubt_
     w = px.groupBy("image_id").agg((F.max("y") + 1).alias("nrows"), (F.max("x") + 1).alias("ncols"))
     steps = F.sequence(F.lit(-h), F.lit(h - 1))
     # mirrored rows first, then columns: minima and maxima are separable
-    a = px.join(F.broadcast(w), "image_id") if False else px.join(w, "image_id")
+    a = px.join(w, "image_id")
     rows = a.withColumn("d", F.explode(steps)).withColumn("d", F.when((F.col("x") + F.col("d") < 0) | (F.col("x") + F.col("d") >= F.col("ncols")), -F.col("d")).otherwise(F.col("d")))
     near = px.select("image_id", "y", F.col("x").alias("sx"), F.col("v").alias("u"))
     lines = rows.withColumn("sx", F.col("x") + F.col("d")).join(near, ["image_id", "y", "sx"]).groupBy("image_id", "y", "x").agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
@@ -230,9 +230,11 @@ def soft_threshold_find_sigma(px: DataFrame, t: int, dist: str = "logistic") ->
     return px.groupBy("image_id").agg(F.avg(F.when(F.col("v") > t, F.col("v"))).alias("vw")).select("image_id", sigma_of(F.coalesce("vw", F.lit(float(t + 1))) - t, dist).alias("sigma"))
 
 
-#: Tables of the running-average method: response to a pixel's difference and bias by level are linear here with these slopes.
 def white_rohrer_threshold(px: DataFrame, x_lookahead: int = 8, y_lookahead: int = 1, bias_factor: float = 100.0, f: float = 0.25, g: float = 0.25) -> DataFrame:
-    """Black where a pixel lies under a running average that goes along rows and down columns; sequential within an image."""
+    """Black where a pixel lies under a running average that goes along rows and down columns; sequential within an image.
+
+    f and g are the averages' slopes; the responses are linear.
+    """
     from ..sources.raster import by_image
     from .kernels import running_threshold
 
