@@ -244,3 +244,16 @@ def test_pipeline_on_odd_rows(spark):
         empty = stage(spark, docs.limit(0), SF)
         assert empty.count() == 0
     assert corpus_pipeline.mix(spark, docs, SF).count() == docs.count()
+
+
+def test_scoring_reads_the_whole_feed_forward_layer():
+    p = A.fresh(3)
+    assert p["up"].shape == (A.WIDTH, 32) and p["down"].shape == (32, A.WIDTH)
+    texts = [np.random.default_rng(i).integers(2, 1000, n) for i, n in enumerate((1, 30, 24, 200))]
+    want = []
+    for t in texts:
+        x, y, w = A.windows(t)
+        want.append(A.log_probs(p, A.states(p, x)[w], y[w]))
+    got = A.symbol_scores(p, texts)
+    assert [len(z) for z in got] == [1, 30, 24, 200]
+    assert all(np.allclose(a, b, rtol=1e-4) for a, b in zip(got, want, strict=True))
