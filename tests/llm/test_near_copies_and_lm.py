@@ -257,3 +257,26 @@ def test_scoring_reads_the_whole_feed_forward_layer():
     got = A.symbol_scores(p, texts)
     assert [len(z) for z in got] == [1, 30, 24, 200]
     assert all(np.allclose(a, b, rtol=1e-4) for a, b in zip(got, want, strict=True))
+
+
+def test_subwords_without_a_symbol_differ_by_corpus_counts(spark, monkeypatch):
+    monkeypatch.setattr(A, "SYMBOLS", 4)  # two ids have symbols of their own
+    assert A.WINDOW - A.STRIDE >= A.WINDOW // 2
+    docs = [(i, "the the the the of of of of cat" + (" cat dog" if i == 1 else " cat")) for i in range(60)]
+    (a,), (b,) = M.spell(M.TOKENIZER, [b"cat"]), M.spell(M.TOKENIZER, [b"dog"])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    times = np.zeros(M.encoding(M.TOKENIZER).max_token_value + 1, dtype=np.int64)
+    for r in M.count_words(df, M.TOKENIZER).where("sub").collect():
+        times[r["key"]] = r["c"]
+    want = Counter(int(k) for _, t in docs for k in M.spell(M.TOKENIZER, t.encode().split()))
+    assert {int(k): int(times[k]) for k in np.flatnonzero(times)} == dict(want)
+    symbol, share = M.symbols_of(times)
+    assert symbol[a] == symbol[b] == A.OTHER and share[a] > share[b]
+    assert math.isclose(np.exp(share[symbol == A.OTHER]).sum(), 1, rel_tol=1e-9)
+
+
+def test_spelling_keeps_words_apart():
+    for words in ([b"cat", " ".encode(), " ".encode(), b"dog"], [b"a-b", b"don't", "x ".encode()], []):
+        ids, starts = M.spell_each(M.TOKENIZER, words)
+        got = [z.tolist() for z in np.split(ids, starts[1:])] if words else []
+        assert got == [M.spell(M.TOKENIZER, [w]).tolist() for w in words]
