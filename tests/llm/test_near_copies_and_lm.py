@@ -280,3 +280,35 @@ def test_spelling_keeps_words_apart():
         ids, starts = M.spell_each(M.TOKENIZER, words)
         got = [z.tolist() for z in np.split(ids, starts[1:])] if words else []
         assert got == [M.spell(M.TOKENIZER, [w]).tolist() for w in words]
+
+
+def test_score_learns_from_every_training_document(spark, monkeypatch):
+    monkeypatch.setattr(A, "train", lambda texts: A.fresh())
+    monkeypatch.setattr(M, "go_on", lambda train, model, path, symbol: model)
+    docs = [(i, "alpha beta gamma") for i in range(40)] + [(900 + i, "qzxv kwyj") for i in range(20)] + [(2000 + i, t) for i in range(20) for t in ("qzxv kwyj",)]
+    got = [{r["doc_id"]: r["score"] for r in M.lm_scores(spark.createDataFrame(docs, "doc_id long, text string"), head=h).collect()} for h in (1, 3, 1 << 18)]
+    assert all(math.isclose(got[0][i], g[i], rel_tol=1e-5) for g in got for i in g)
+    train = [t.split() for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in [*t, None])
+    words = "qzxv kwyj".split()
+    ids, starts = M.spell_each(M.TOKENIZER, [w.encode() for w in words])
+    times = np.zeros(M.encoding(M.TOKENIZER).max_token_value + 1, dtype=np.int64)
+    for t in train:
+        np.add.at(times, M.spell(M.TOKENIZER, [w.encode() for w in t]), 1)
+    symbol, share = M.symbols_of(times)
+    lp = A.symbol_scores(A.fresh(), [np.append(symbol[ids], A.END)])[0]
+    lp[:-1] += share[ids]
+    spelled = np.add.reduceat(lp, np.append(starts, len(ids)))
+    want = sum(math.log10(0.5 * math.exp(s) + 0.5 * c[w] / sum(c.values())) for s, w in zip(spelled, [*words, None], strict=True))
+    assert math.isclose(got[0][900], want, rel_tol=1e-5)
+
+
+def test_the_model_goes_on_over_all_documents(spark):
+    symbol = np.arange(M.encoding(M.TOKENIZER).max_token_value + 1) % (A.SYMBOLS - 2) + 2
+    rows = [(i, " ".join(["red green blue"] * 20)) for i in range(40)]
+    run = lambda x: A.pack(M.go_on(spark.createDataFrame(x, "doc_id long, text string").coalesce(2), A.fresh(), M.TOKENIZER, symbol))
+    a, b = run(rows), run([*rows[:-1], (39, "one other text")])
+    assert not np.array_equal(a, b)
+    text = np.append(symbol[M.spell(M.TOKENIZER, rows[0][1].encode().split())], A.END)
+    assert A.score(A.unpack(a), [text])[0] > A.score(A.fresh(), [text])[0]
+    assert np.array_equal(run([]), A.pack(A.fresh()))
