@@ -1,7 +1,7 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
-A line is its words, lower-cased (A-Z); lines of fewer than ``shortest`` words are left alone. A line goes
-if an earlier line of the corpus (by doc_id, then line) is equal or one word edit away (a word inserted,
+A line is its words, lower-cased (A-Z). Lines of fewer than ``shortest`` words go only if an earlier line
+is equal, and only those of ``equal`` words or more; lines of no word stay. Any other line goes if an earlier line of the corpus (by doc_id, then line) is equal or one word edit away (a word inserted,
 deleted or replaced; of five words or more, so at least 0.8 of it is the same).
 
 Lines one replacement apart leave the same words when the same place is deleted; of lines one insertion
@@ -70,14 +70,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
 
-def all_lines(docs: DataFrame, shortest: int) -> DataFrame:
-    """(hash, at: place as doc_id, row and line, halves) of every line of at least ``shortest`` words."""
+def all_lines(docs: DataFrame, shortest: int, equal: int) -> DataFrame:
+    """(hash, at: place as doc_id, row and line, halves) of every line of at least ``equal`` words; no halves below ``shortest``."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for row, doc_id, raw in rows:
             for k, line in enumerate((raw or b"").split(b"\n")):
-                if words := line_words(line, shortest):
-                    yield digest(words), {"doc": LAST if doc_id is None else doc_id, "row": row, "line": k}, list(half_keys(words))
+                if words := line_words(line, equal):
+                    halves = list(half_keys(words)) if len(words) >= shortest else []
+                    yield digest(words), {"doc": LAST if doc_id is None else doc_id, "row": row, "line": k}, halves
 
     return map_rows(numbered(docs), run, "hash long, at struct<doc:long,row:long,line:int>, halves array<long>", binary=("text",))
 
@@ -137,9 +138,9 @@ def deletions(words: list[bytes]) -> tuple[list[int], list[int]]:
     return without, placed
 
 
-def duplicate_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+def duplicate_lines(docs: DataFrame, shortest: int = SHORTEST, equal: int = SHORTEST) -> DataFrame:
     """(row, lines): the line numbers to drop in each row of ``docs`` that loses some; row as ``numbered`` numbers."""
-    lines = materialize(all_lines(docs, shortest), "lines")
+    lines = materialize(all_lines(docs, shortest, equal), "lines")
     first = lines.groupBy("hash").agg(F.min(F.struct("at", "halves")).alias("x"))  # copies of a line share their halves
     distinct = materialize(first.select("hash", "x.at", "x.halves"), "distinct")
     keyed = distinct.select("hash", F.explode("halves").alias("half"))
@@ -174,14 +175,14 @@ def duplicate_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     return drop.groupBy("at.row").agg(F.collect_set("at.line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, equal: int = SHORTEST) -> DataFrame:
     """All columns of ``docs`` with the duplicate lines cut out of ``text``, and __n_lines and __n_dropped.
 
     ``docs`` must give the same rows in the same order each time it runs, as files do. Null text stays
     null with no line; an empty text is one line; null ids come last in the corpus's order; a repeated
     row loses what its first copy holds; other columns pass through; empty tables give empty results.
     """
-    drop = duplicate_lines(docs, shortest).withColumnRenamed("row", "__row").withColumnRenamed("lines", "__lines")
+    drop = duplicate_lines(docs, shortest, equal).withColumnRenamed("row", "__row").withColumnRenamed("lines", "__lines")
     out = docs.withColumn("__row", F.monotonically_increasing_id()).join(drop, "__row", "left")
     pieces = F.split(F.col("text"), "\n", -1)
     kept = F.filter(pieces, lambda _, k: ~F.array_contains("__lines", k))

@@ -312,3 +312,12 @@ def test_the_model_goes_on_over_all_documents(spark):
     text = np.append(symbol[M.spell(M.TOKENIZER, rows[0][1].encode().split())], A.END)
     assert A.score(A.unpack(a), [text])[0] > A.score(A.fresh(), [text])[0]
     assert np.array_equal(run([]), A.pack(A.fresh()))
+
+
+def test_equal_short_lines_go_in_the_query(spark, tmp_path):
+    from pagewright.llm.queries import op9_line_dedup
+
+    docs = [(1, "Read more\nshare\n\nshare this"), (2, "read  more\n\nShare\nshare that"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0, docs[0][1]), 2: (4, 2, "\nshare that"), 3: (0, 0, None)}
