@@ -2,8 +2,9 @@
 
 A page is read into blocks of text, each with its root-to-leaf tag path. Text length and punctuation
 are summed by path and divided by the path's number of blocks; the ratios are smoothed over
-neighbouring blocks, fused over the path's ancestors, and paths over a threshold are content. Parts
-that markup itself names as boilerplate (menus, headers, footers, sidebars, notices, adverts, forms,
+neighbouring blocks, fused over the path's ancestors, and paths over a threshold are content; elements
+of running text have a lower one. Where a page has <article> or <main>, those dense enough are searched,
+not the whole page. Parts that markup itself names as boilerplate (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments) never are.
 """
 
@@ -38,8 +39,11 @@ BOILERPLATE = frozenset(
     " reply replies disqus discussion share sharing social related recommended trending pagination pager copyright legal skip search toolbar".split()
 )
 ENDS_P = frozenset("address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Elements of running text: inside the article's element they are content whatever their ratio.
+#: Elements of running text: inside the article's element a LEAF_SHARE of the threshold makes them content.
 TEXT_LEAVES = frozenset("p li blockquote pre td th dd dt figcaption h1 h2 h3 h4 h5 h6".split())
+LEAF_SHARE = 0.25
+#: Characters of a block that count when the middle of the text is looked for.
+LONGEST = 200
 PUNCT = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
@@ -182,14 +186,25 @@ def content_paths(found: list[Block], threshold: float = 0.35) -> set[tuple[str,
         for depth in range(1, len(p) + 1):
             held[p[:depth]] += level[p] * count[p]
     total = sum(level[p] * count[p] for p in level)
-    roots = [p for p in held if tag_of(p) in ("article", "main")]
+    tagged = [p for p in held if tag_of(p) in ("article", "main")]
+    roots = [p for p in tagged if not any(q != p and p[: len(q)] == q for q in tagged)]
     if roots:
-        root = max(roots, key=lambda p: (held[p], len(p)))
-        return {p for p in level if p[: len(root)] == root}
-    inner = [p for p in held if held[p] >= 0.6 * total and any(q != p and q[: len(p)] == p for q in level)]
-    root = max(inner, key=len, default=())
-    most = max(level.values(), default=0.0)
-    return {p for p in level if p[: len(root)] == root and (level[p] >= threshold * most or tag_of(p) in TEXT_LEAVES)}
+        dense = {r: held[r] / sum(count[p] for p in level if p[: len(r)] == r) for r in roots}
+        roots = [r for r in roots if dense[r] >= threshold * max(dense.values())]
+    else:
+        inner = [p for p in held if held[p] >= 0.6 * total and any(q != p and q[: len(p)] == p for q in level)]
+        roots = [max(inner, key=len, default=())]
+    inside = [p for p in level if any(p[: len(r)] == r for r in roots)]
+    # against the block in the middle of the text, so that neither one very long block nor many tiny ones set the bar
+    own = set(inside)
+    usual = sorted((level[b.path], min(len(b.text), LONGEST)) for b in found if b.path in own)
+    half, bar = sum(n for _, n in usual) / 2, 0.0
+    for x, n in usual:
+        half -= n
+        if half <= 0:
+            bar = threshold * x
+            break
+    return {p for p in inside if ratio[p] > 0 and level[p] >= bar * (LEAF_SHARE if tag_of(p) in TEXT_LEAVES else 1)}
 
 
 def extract(page: str | None) -> str:

@@ -179,3 +179,15 @@ def test_html():
 def test_html_query(spark):
     got = Q.queries()["op7_html_extract"](spark, SF).collect()
     assert all(r["n_chars"] == len(r["text"]) and "<" not in r["text"][:1] for r in got) and all("©" not in r["text"] for r in got)
+
+
+def test_ratios_decide_inside_articles():
+    p = "<p>" + "A sentence of some length, with a comma. " * 6 + "</p>"
+    two = f"<body><main><article class='a'>{p * 3}</article></main><div><article class='b'>{p.replace('sentence', 'phrase') * 2}</article></div></body>"
+    assert H.extract(two).count("A sentence") == 18 and H.extract(two).count("A phrase") == 12
+    inside = f"<article>{p * 4}<div class='zq7'><div>Buy</div><div>now</div><div>here</div><div>cheap</div><div>more</div><div>top</div></div>{p}</article>"
+    assert H.extract(inside).count("A sentence") == 30 and "cheap" not in H.extract(inside)
+    links = f"<article>{p * 3}<ul>{'<li><a href=x>Another page</a></li>' * 5}</ul></article>"
+    assert "Another" not in H.extract(links)
+    long = f"<article>{p * 4}<pre>{'x = f(a, b); ' * 2000}</pre></article>"
+    assert H.extract(long).count("A sentence") == 24 and "x = f" in H.extract(long)
