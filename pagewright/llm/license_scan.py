@@ -141,10 +141,9 @@ def detect(text: str | None) -> list[Detection]:
     """Signature detections in the whole text; white space counts as one space, letter case doesn't matter."""
     if not text:
         return []
-    low = text.lower()
+    low = " ".join(text.lower().split())
     if not any(x in low for x in GATES):
         return []
-    low = " ".join(low.split())
     present: dict[str, bool] = {}
     found = []
     for r in rules():

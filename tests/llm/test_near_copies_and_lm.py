@@ -276,7 +276,7 @@ def test_subwords_without_a_symbol_differ_by_corpus_counts(spark, monkeypatch):
 
 
 def test_spelling_keeps_words_apart():
-    for words in ([b"cat", " ".encode(), " ".encode(), b"dog"], [b"a-b", b"don't", "x ".encode()], []):
+    for words in ([b"cat", "\xa0".encode(), "\xa0".encode(), b"dog"], [b"a-b", b"don't", "x\xa0".encode()], []):
         ids, starts = M.spell_each(M.TOKENIZER, words)
         got = [z.tolist() for z in np.split(ids, starts[1:])] if words else []
         assert got == [M.spell(M.TOKENIZER, [w]).tolist() for w in words]

@@ -191,3 +191,8 @@ def test_ratios_decide_inside_articles():
     assert "Another" not in H.extract(links)
     long = f"<article>{p * 4}<pre>{'x = f(a, b); ' * 2000}</pre></article>"
     assert H.extract(long).count("A sentence") == 24 and "x = f" in H.extract(long)
+
+
+def test_license_phrases_across_white_space():
+    for gap in ("\n", "  ", "\xa0"):
+        assert [d.label for d in L.detect(f"This text is released into the public{gap}domain.")] == ["public-domain"]
