@@ -122,6 +122,11 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return float(math.exp(top) * np.exp(logs - top).sum())
 
 
+def least_size(alpha: float, delta: float) -> int:
+    """Good documents that a stratum needs for any cutoff to pass, even with none of them rejected."""
+    return math.ceil(math.log(delta) / math.log1p(-alpha))
+
+
 def accepted_cutoff(counts: dict[int, int], n: int, size: int, alpha: float, delta: float) -> int:
     """The last index of the grid up to which every cutoff passes the exact test; -1 if none does.
 
@@ -145,7 +150,8 @@ def select_cutoffs(levels: DataFrame, alpha: float = 0.02, delta: float = 0.1) -
     """levels: rows of good documents (stratum, one column of ``level`` per rule).
 
     Returns (stratum, cut: index of the accepted cutoff per rule, -1 where none) and the number of strata.
-    Only histograms, bounded by the grids, are gathered; each stratum's is handled in one call.
+    Strata of fewer documents than any cutoff needs, even if it rejects none of them, share the cutoffs of
+    their pool, whose guarantee is on the pool. Only histograms, bounded by the grids, are gathered; each stratum's is handled in one call.
     """
     rules = list(GRIDS)
     long = levels.select("stratum", F.posexplode(F.array(*rules)).alias("rule", "at"))
@@ -153,22 +159,30 @@ def select_cutoffs(levels: DataFrame, alpha: float = 0.02, delta: float = 0.1) -
     strata = hist.select("stratum").distinct().count()
     a, d = alpha / len(rules), delta / max(1, len(rules) * strata)
 
+    sizes = hist.where("rule = 0").groupBy("stratum").agg(F.sum("n").alias("size"))
+    members = sizes.select("stratum", (F.col("size") < least_size(a, d)).alias("pooled")).withColumn("own", F.when(~F.col("pooled"), F.col("stratum")))
+    owned = members.withColumnRenamed("stratum", "of")
+    pools = hist.join(owned, F.col("stratum").eqNullSafe(F.col("of"))).groupBy("pooled", "own", "rule", "at").agg(F.sum("n").alias("n"))
+
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         cut = []
         for k, rule in enumerate(rules):
             own = pdf[pdf["rule"] == k]
             counts = dict(zip(own["at"].tolist(), own["n"].tolist(), strict=True))
             cut.append(accepted_cutoff(counts, int(own["n"].sum()), len(GRIDS[rule]), a, d))
-        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "cut": [cut]})
+        return pd.DataFrame({"by_pool": [pdf["pooled"].iloc[0]], "by": [pdf["own"].iloc[0]], "cut": [cut]})
 
-    return hist.groupBy("stratum").applyInPandas(pick, "stratum string, cut array<int>"), strata
+    cuts = pools.groupBy("pooled", "own").applyInPandas(pick, "by_pool boolean, by string, cut array<int>")
+    same = (F.col("pooled") == F.col("by_pool")) & F.col("own").eqNullSafe(F.col("by"))
+    return members.join(cuts, same).select("stratum", "cut"), strata
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.1, max_broadcast: int = 50_000) -> DataFrame:
     """Base statistics, the base rule and the risk-controlled verdict, one row per row of ``docs``.
 
-    Null text counts as empty (base_failed). A null stratum is a stratum of its own. Strata without
-    enough labelled good documents for any guarantee reject nothing beyond the base rule. A document
+    Null text counts as empty (base_failed). A null stratum is a stratum of its own. Strata with too
+    few labelled good documents for cutoffs of their own share their pool's; where the pool is too small
+    as well, or a stratum has none, nothing is rejected beyond the base rule. A document
     labelled more than once is good if any label says so; null labels are ignored. Extra columns of
     ``docs`` are ignored; a repeated row gives a repeated result; empty tables give an empty result.
     """

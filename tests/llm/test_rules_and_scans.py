@@ -196,3 +196,23 @@ def test_ratios_decide_inside_articles():
 def test_license_phrases_across_white_space():
     for gap in ("\n", "  ", "\xa0"):
         assert [d.label for d in L.detect(f"This text is released into the public{gap}domain.")] == ["public-domain"]
+
+
+def test_small_strata_share_the_cutoffs_of_their_pool(spark):
+    rng = random.Random(1)
+    good = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(80))
+    bad = lambda: " ".join("#" + "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(2)) for _ in range(80))
+    assert R.least_size(0.02 / 5, 0.1 / 20) == 1322
+    rows = [(i, good(), ("en", "fr", "de")[i % 3], 1) for i in range(1500)] + [(2000 + i, bad(), ("en", "fr", "de")[i % 3], None) for i in range(6)]
+    rows += [(3000 + i, bad(), "it", None) for i in range(3)]
+    got = {r["doc_id"]: r["kept"] for r in R.quality_rules(*labelled(spark, rows)).collect()}
+    assert len(got) == len(rows) and sum(got[i] for i in range(1500)) >= 0.98 * 1500
+    assert not any(got[2000 + i] for i in range(6)) and all(got[3000 + i] for i in range(3))
+
+
+def test_rules_act_at_the_production_risk(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60)), "en", 1) for i in range(1400)] + [(2000, " ".join("#" + a + b for a in "abcdefgh" for b in "abcdefghij"), "en", None)]
+    out = R.quality_rules(*labelled(spark, rows)).collect()
+    got = {r["doc_id"]: r["kept"] for r in out}
+    assert sum(got[i] for i in range(1400)) >= 0.98 * 1400 and not got[2000] and not any(r["base_failed"] for r in out)
