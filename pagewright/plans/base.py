@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..sources.raster import ink, text_raster
 from .scratch import keep
 
-__all__ = ["QUERIES", "SQL", "add", "chats", "chats2", "docs", "dots", "edges", "glyphs", "keep", "pages", "rects", "rgb", "table"]
+__all__ = ["QUERIES", "SQL", "add", "add_pixels", "chats", "chats2", "docs", "dots", "edges", "glyphs", "keep", "pages", "rects", "rgb", "table"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,3 +117,32 @@ def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | Non
     QUERIES[name] = run
     if sql:
         SQL[name] = (with_clause(using) if using else "") + ("" if sql.lstrip().startswith(",") else "\n") + sql
+
+
+#: Modulus of the digests, below 2^31 so that products of two residues fit a long.
+PRIME = 2**31 - 1
+
+
+def pixel_digest(px: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """One row an image: its number of pixels, the sum of its places' weights and, for each value, the weighted sum in millionths.
+
+    Sums of integers by place: partial aggregates combine before the shuffle, and the order of rows doesn't matter.
+    """
+    place = (F.col("y").cast("long") * 1000003 + F.col("x") * 7919 + 12345) % PRIME
+    own = px.select("image_id", place.alias("__w"), *[(F.floor(F.col(c).cast("double") * 1000000 + 0.5).cast("long") % PRIME).alias(c) for c in values])
+    return own.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("__w").alias("places"), *[F.sum(F.col(c) * F.col("__w") % PRIME).alias(f"{c}_digest") for c in values])
+
+
+def digest_sql(sql: str, values: tuple[str, ...]) -> str:
+    own = ", ".join(f'floor("{c}"::DOUBLE * 1000000 + 0.5)::BIGINT % {PRIME} AS "{c}"' for c in values)
+    sums = ", ".join(f'sum("{c}" * __w % {PRIME})::BIGINT AS "{c}_digest"' for c in values)
+    return f"SELECT image_id, count(*) AS n, sum(__w)::BIGINT AS places, {sums} FROM (SELECT image_id, (y::BIGINT * 1000003 + x * 7919 + 12345) % {PRIME} AS __w, {own} FROM ({sql})) GROUP BY image_id"
+
+
+def add_pixels(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, using: str = "", values: tuple[str, ...] = ("v",)) -> None:
+    """Registers a query on pixels by the digests of its images; its whole tables are still read and every pixel enters."""
+    add(name, lambda s, d: pixel_digest(run(s, d), values))
+    if sql:
+        lead = with_clause(using) if using else ""
+        own = ("" if sql.lstrip().startswith(",") else "\n") + sql
+        SQL[name] = digest_sql(lead + own, values)

@@ -10,7 +10,7 @@ from ..operators import features
 from ..sources import codecs, flatfiles
 from ..sources import glyphs as X
 from ..streaming import classify as C
-from .base import add, chats, dots, glyphs, rgb, table
+from .base import add, add_pixels, chats, dots, glyphs, rgb, table
 from .scratch import root
 
 KEY = ["image_id", "y", "x"]
@@ -40,10 +40,10 @@ def round_trip(s, px, kind: str, form: str):
 
 
 for form in ("png", "tiff"):
-    add(f"{form}_greyscale_round_trip", lambda s, d, form=form: round_trip(s, chats(s, d), "greyscale", form), "SELECT image_id, y, x, v FROM chats", "chats")
-    add(f"{form}_onebit_round_trip", lambda s, d, form=form: round_trip(s, dots(s, d), "onebit", form), "SELECT image_id, y, x, v FROM dots", "dots")
-    add(f"{form}_grey16_round_trip", lambda s, d, form=form: round_trip(s, chats(s, d).withColumn("v", F.col("v") * 200), "grey16", form), "SELECT image_id, y, x, v * 200 AS v FROM chats", "chats")
-    add(f"{form}_rgb_round_trip", lambda s, d, form=form: round_trip(s, rgb(chats(s, d)), "rgb", form), "SELECT image_id, y, x, r * 65536 + g * 256 + b AS v FROM rgb", "rgb")
+    add_pixels(f"{form}_greyscale_round_trip", lambda s, d, form=form: round_trip(s, chats(s, d), "greyscale", form), "SELECT image_id, y, x, v FROM chats", "chats")
+    add_pixels(f"{form}_onebit_round_trip", lambda s, d, form=form: round_trip(s, dots(s, d), "onebit", form), "SELECT image_id, y, x, v FROM dots", "dots")
+    add_pixels(f"{form}_grey16_round_trip", lambda s, d, form=form: round_trip(s, chats(s, d).withColumn("v", F.col("v") * 200), "grey16", form), "SELECT image_id, y, x, v * 200 AS v FROM chats", "chats")
+    add_pixels(f"{form}_rgb_round_trip", lambda s, d, form=form: round_trip(s, rgb(chats(s, d)), "rgb", form), "SELECT image_id, y, x, r * 65536 + g * 256 + b AS v FROM rgb", "rgb")
 
 
 def xml_round_trip(s, d):

@@ -9,7 +9,7 @@ from ..operators import neighborhood as N
 from ..operators import pixel as P
 from ..operators import threshold as T
 from ..sources import raster as R
-from .base import add, chats, chats2, dots, rgb
+from .base import add, add_pixels, chats, chats2, dots, rgb
 
 KEY = ["image_id", "y", "x"]
 
@@ -27,38 +27,38 @@ GP = "GROUP BY p.image_id, p.y, p.x, p.v"
 LOCAL = "SELECT p.image_id, p.y, p.x, p.v, avg(q.v::DOUBLE) AS m, greatest(sum((q.v * q.v)::DOUBLE) / count(*) - avg(q.v::DOUBLE) ** 2, 0) AS var "
 
 add("mean_filter", lambda s, d: r6(T.mean_filter(chats(s, d))), f"SELECT p.image_id, p.y, p.x, round(avg(q.v::DOUBLE), 6) AS v {near_sql('chats', 2)} {GP}", "chats")
-add("variance_filter", lambda s, d: r6(T.variance_filter(chats(s, d))), f"SELECT image_id, y, x, round(var, 6) AS v FROM ({LOCAL} {near_sql('chats', 2)} {GP})", "chats")
-add(
+add_pixels("variance_filter", lambda s, d: r6(T.variance_filter(chats(s, d))), f"SELECT image_id, y, x, round(var, 6) AS v FROM ({LOCAL} {near_sql('chats', 2)} {GP})", "chats")
+add_pixels(
     "wiener_filter",
     lambda s, d: r6(T.wiener_filter(chats(s, d), 5, 400.0)),
     f"SELECT image_id, y, x, round(CASE WHEN var < 400 OR var = 0 THEN m ELSE m + (var - 400) * (v - m) / var END, 6) AS v FROM ({LOCAL} {near_sql('chats', 2)} {GP})",
     "chats",
 )
-add("wiener_filter_auto", lambda s, d: r6(T.wiener_filter(chats(s, d), 5)))
+add_pixels("wiener_filter_auto", lambda s, d: r6(T.wiener_filter(chats(s, d), 5)))
 add("image_mean", lambda s, d: r6(T.image_mean(chats(s, d)), "mean"), "SELECT image_id, round(avg(v::DOUBLE), 6) AS mean FROM chats GROUP BY image_id", "chats")
 add("image_variance", lambda s, d: T.image_variance(chats(s, d)).withColumn("variance", F.floor(F.col("variance") * 1000 + 0.25)), "SELECT image_id, floor((sum((v * v)::DOUBLE) / count(*) - (sum(v::DOUBLE) / count(*)) ** 2) * 1000 + 0.25)::BIGINT AS variance FROM chats GROUP BY image_id", "chats")
-add("mean", lambda s, d: N.mean(chats(s, d)), f"SELECT p.image_id, p.y, p.x, floor((sum(q.v) + (9 - count(*)) * 255)::DOUBLE / 9 + 0.5)::INT AS v {near_sql('chats', 1)} {GP}", "chats")
-add("rank", lambda s, d: N.rank(chats(s, d), 5), f"SELECT p.image_id, p.y, p.x, list_sort(list(q.v) || [255 FOR i IN range(9 - count(*))])[5]::INT AS v {near_sql('chats', 1)} {GP}", "chats")
+add_pixels("mean", lambda s, d: N.mean(chats(s, d)), f"SELECT p.image_id, p.y, p.x, floor((sum(q.v) + (9 - count(*)) * 255)::DOUBLE / 9 + 0.5)::INT AS v {near_sql('chats', 1)} {GP}", "chats")
+add_pixels("rank", lambda s, d: N.rank(chats(s, d), 5), f"SELECT p.image_id, p.y, p.x, list_sort(list(q.v) || [255 FOR i IN range(9 - count(*))])[5]::INT AS v {near_sql('chats', 1)} {GP}", "chats")
 for which in ("min", "max"):
     add(f"{which}_filter", lambda s, d, which=which: N.min_max_filter(chats(s, d), 5, which), f"SELECT p.image_id, p.y, p.x, {which}(q.v) AS v {near_sql('chats', 2)} {GP}", "chats")
-add("dilate", lambda s, d: N.dilate(R.ink(chats2(s, d), 200)), f", o AS (SELECT image_id, y, x, (v > 200)::INT AS v FROM chats2) SELECT p.image_id, p.y, p.x, max(q.v) AS v {near_sql('o', 1)} {GP}", "chats2")
-add("erode", lambda s, d: N.erode(R.ink(chats2(s, d), 60)), f", o AS (SELECT image_id, y, x, (v > 60)::INT AS v FROM chats2) SELECT p.image_id, p.y, p.x, min(q.v) AS v {near_sql('o', 1)} {GP}", "chats2")
-add("erode_dilate_octagonal", lambda s, d: N.erode_dilate(R.ink(chats2(s, d), 220), 2, "dilate", "octagonal"), f", o AS (SELECT image_id, y, x, (v > 220)::INT AS v FROM chats2), a AS (SELECT p.image_id, p.y, p.x, max(q.v) AS v {near_sql('o', 1)} {GP}) SELECT p.image_id, p.y, p.x, max(q.v) AS v {near_sql('a', 1, 'AND (q.y = p.y OR q.x = p.x)')} {GP}", "chats2")
-add("erode_dilate_greyscale", lambda s, d: N.erode_dilate(chats(s, d), 1, "dilate", dark_is_low=True), f"SELECT p.image_id, p.y, p.x, min(q.v) AS v {near_sql('chats', 1)} {GP}", "chats")
+add_pixels("dilate", lambda s, d: N.dilate(R.ink(chats2(s, d), 200)), f", o AS (SELECT image_id, y, x, (v > 200)::INT AS v FROM chats2) SELECT p.image_id, p.y, p.x, max(q.v) AS v {near_sql('o', 1)} {GP}", "chats2")
+add_pixels("erode", lambda s, d: N.erode(R.ink(chats2(s, d), 60)), f", o AS (SELECT image_id, y, x, (v > 60)::INT AS v FROM chats2) SELECT p.image_id, p.y, p.x, min(q.v) AS v {near_sql('o', 1)} {GP}", "chats2")
+add_pixels("erode_dilate_octagonal", lambda s, d: N.erode_dilate(R.ink(chats2(s, d), 220), 2, "dilate", "octagonal"), f", o AS (SELECT image_id, y, x, (v > 220)::INT AS v FROM chats2), a AS (SELECT p.image_id, p.y, p.x, max(q.v) AS v {near_sql('o', 1)} {GP}) SELECT p.image_id, p.y, p.x, max(q.v) AS v {near_sql('a', 1, 'AND (q.y = p.y OR q.x = p.x)')} {GP}", "chats2")
+add_pixels("erode_dilate_greyscale", lambda s, d: N.erode_dilate(chats(s, d), 1, "dilate", dark_is_low=True), f"SELECT p.image_id, p.y, p.x, min(q.v) AS v {near_sql('chats', 1)} {GP}", "chats")
 for which, f, t in (("outer", "max", 200), ("inner", "min", 60)):
-    add(f"outline_{which}", lambda s, d, which=which, t=t: N.outline(R.ink(chats2(s, d), t), which), f", o AS (SELECT image_id, y, x, (v > {t})::INT AS v FROM chats2) SELECT p.image_id, p.y, p.x, ({f}(q.v) <> p.v)::INT AS v {near_sql('o', 1)} {GP}", "chats2")
+    add_pixels(f"outline_{which}", lambda s, d, which=which, t=t: N.outline(R.ink(chats2(s, d), t), which), f", o AS (SELECT image_id, y, x, (v > {t})::INT AS v FROM chats2) SELECT p.image_id, p.y, p.x, ({f}(q.v) <> p.v)::INT AS v {near_sql('o', 1)} {GP}", "chats2")
 ELEMENT, ORIGIN = [[1, 1], [0, 1]], (0, 0)
 OFFS = "(VALUES (0, 0), (0, 1), (1, 1)) t(dy, dx)"
-add("dilate_with_structure", lambda s, d: N.dilate_with_structure(R.ink(chats2(s, d), 200), ELEMENT, ORIGIN), f", o AS (SELECT image_id, y, x, (v > 200)::INT AS v FROM chats2) SELECT p.image_id, p.y, p.x, greatest(p.v, coalesce(max(q.v), 0)) AS v FROM o p LEFT JOIN (SELECT image_id, y + dy AS y, x + dx AS x, v FROM o, {OFFS}) q ON q.image_id = p.image_id AND q.y = p.y AND q.x = p.x {GP}", "chats2")
-add("erode_with_structure", lambda s, d: N.erode_with_structure(R.ink(chats2(s, d), 60), ELEMENT, ORIGIN), f", o AS (SELECT image_id, y, x, (v > 60)::INT AS v FROM chats2) SELECT p.image_id, p.y, p.x, (coalesce(sum(q.v), 0) = 3)::INT AS v FROM o p LEFT JOIN (SELECT image_id, y - dy AS y, x - dx AS x, v FROM o, {OFFS}) q ON q.image_id = p.image_id AND q.y = p.y AND q.x = p.x {GP}", "chats2")
+add_pixels("dilate_with_structure", lambda s, d: N.dilate_with_structure(R.ink(chats2(s, d), 200), ELEMENT, ORIGIN), f", o AS (SELECT image_id, y, x, (v > 200)::INT AS v FROM chats2) SELECT p.image_id, p.y, p.x, greatest(p.v, coalesce(max(q.v), 0)) AS v FROM o p LEFT JOIN (SELECT image_id, y + dy AS y, x + dx AS x, v FROM o, {OFFS}) q ON q.image_id = p.image_id AND q.y = p.y AND q.x = p.x {GP}", "chats2")
+add_pixels("erode_with_structure", lambda s, d: N.erode_with_structure(R.ink(chats2(s, d), 60), ELEMENT, ORIGIN), f", o AS (SELECT image_id, y, x, (v > 60)::INT AS v FROM chats2) SELECT p.image_id, p.y, p.x, (coalesce(sum(q.v), 0) = 3)::INT AS v FROM o p LEFT JOIN (SELECT image_id, y - dy AS y, x - dx AS x, v FROM o, {OFFS}) q ON q.image_id = p.image_id AND q.y = p.y AND q.x = p.x {GP}", "chats2")
 DIFF = "SELECT p.image_id, p.y, p.x, coalesce(max((q.v <> p.v)::INT), 0) AS v FROM chats2 p LEFT JOIN chats2 q ON q.image_id = p.image_id AND ((q.y = p.y AND q.x = p.x + 1) OR (q.y = p.y + 1 AND q.x IN (p.x, p.x + 1))) GROUP BY p.image_id, p.y, p.x"
-add("labeled_region_edges", lambda s, d: N.labeled_region_edges(chats2(s, d)), DIFF, "chats2")
-add("labeled_region_edges_both", lambda s, d: N.labeled_region_edges(chats2(s, d), True), "SELECT p.image_id, p.y, p.x, coalesce(max((q.v <> p.v)::INT), 0) AS v FROM chats2 p LEFT JOIN chats2 q ON q.image_id = p.image_id AND ((q.y = p.y AND abs(q.x - p.x) = 1) OR (q.y = p.y + 1 AND q.x IN (p.x, p.x + 1)) OR (q.y = p.y - 1 AND q.x IN (p.x, p.x - 1))) GROUP BY p.image_id, p.y, p.x", "chats2")
+add_pixels("labeled_region_edges", lambda s, d: N.labeled_region_edges(chats2(s, d)), DIFF, "chats2")
+add_pixels("labeled_region_edges_both", lambda s, d: N.labeled_region_edges(chats2(s, d), True), "SELECT p.image_id, p.y, p.x, coalesce(max((q.v <> p.v)::INT), 0) AS v FROM chats2 p LEFT JOIN chats2 q ON q.image_id = p.image_id AND ((q.y = p.y AND abs(q.x - p.x) = 1) OR (q.y = p.y + 1 AND q.x IN (p.x, p.x + 1)) OR (q.y = p.y - 1 AND q.x IN (p.x, p.x - 1))) GROUP BY p.image_id, p.y, p.x", "chats2")
 SHARP = "(VALUES " + ", ".join(f"({i - 1}, {j - 1}, {k}::DOUBLE)" for i, row in enumerate(N.sharpening_kernel()) for j, k in enumerate(row)) + ") t(dy, dx, w)"
 MIRROR = "CASE WHEN s = 1 THEN 0 WHEN abs(c) >= s THEN 2 * (s - 1) - abs(c) ELSE abs(c) END"
 CONV = "SELECT p.image_id, p.y, p.x, round(sum(p.w * coalesce(q.v, 0)), 6) AS v FROM (SELECT a.image_id, a.y, a.x, w, {sy} AS sy, {sx} AS sx FROM {rel} a JOIN size USING (image_id), {taps}) p LEFT JOIN {rel} q ON q.image_id = p.image_id AND q.y = p.sy AND q.x = p.sx GROUP BY p.image_id, p.y, p.x"
 m = lambda c, s: MIRROR.replace("abs(c)", f"abs({c})").replace("s = 1", f"{s} = 1").replace(">= s", f">= {s}").replace("(s - 1)", f"({s} - 1)")
-add("simple_sharpen", lambda s, d: r6(N.simple_sharpen(chats(s, d))), CONV.format(rel="chats", taps=SHARP, sy=m("a.y - dy", "nrows"), sx=m("a.x - dx", "ncols")), "chats size")
+add_pixels("simple_sharpen", lambda s, d: r6(N.simple_sharpen(chats(s, d))), CONV.format(rel="chats", taps=SHARP, sy=m("a.y - dy", "nrows"), sx=m("a.x - dx", "ncols")), "chats size")
 
 
 def taps(kernel: list[float], axis: str) -> str:
@@ -67,26 +67,26 @@ def taps(kernel: list[float], axis: str) -> str:
 
 
 BIN = N.binomial_kernel(2)
-add("convolve_x", lambda s, d: r6(N.convolve_x(chats(s, d), BIN, "repeat")), CONV.format(rel="chats", taps=taps(BIN, "x"), sy="a.y - dy", sx="least(greatest(a.x - dx, 0), ncols - 1)"), "chats size")
-add("convolve_y", lambda s, d: r6(N.convolve_y(chats(s, d), BIN, "wrap")), CONV.format(rel="chats", taps=taps(BIN, "y"), sy="((a.y - dy) % nrows + nrows) % nrows", sx="a.x - dx"), "chats size")
-add("gaussian_smoothing", lambda s, d: r6(N.gaussian_smoothing(chats(s, d))), ", a AS (" + CONV.format(rel="chats", taps=taps(N.gaussian_kernel(), "x"), sy="a.y", sx=m("a.x - dx", "ncols")).replace("round(sum(p.w * coalesce(q.v, 0)), 6)", "sum(p.w * coalesce(q.v, 0))") + ") " + CONV.format(rel="a", taps=taps(N.gaussian_kernel(), "y"), sy=m("a.y - dy", "nrows"), sx="a.x"), "chats size")
-add("convolve_clip", lambda s, d: r6(N.convolve(chats(s, d), [[0.1, 0.2, 0.1], [0.0, 0.4, 0.0], [0.1, 0.0, 0.1]], "clip")))
-add("convolve_avoid", lambda s, d: r6(N.convolve(chats(s, d), [[0.25, 0.5, 0.25]], "avoid")))
-add("convolve_xy", lambda s, d: r6(N.convolve_xy(chats(s, d), N.averaging_kernel(1))))
-add("gaussian_gradient", lambda s, d: r6(N.gaussian_gradient(chats(s, d))[0].join(N.gaussian_gradient(chats(s, d))[1].withColumnRenamed("v", "w"), KEY), "v", "w"))
-add("laplacian_of_gaussian", lambda s, d: r6(N.laplacian_of_gaussian(chats(s, d))))
-add("hessian_matrix_of_gaussian", lambda s, d: r6(N.hessian_matrix_of_gaussian(chats(s, d))[2]))
-add("sobel_edge_detection", lambda s, d: r6(N.sobel_edge_detection(chats(s, d))))
-add("create_gabor_filter", lambda s, d: r6(N.create_gabor_filter(chats(s, d))))
+add_pixels("convolve_x", lambda s, d: r6(N.convolve_x(chats(s, d), BIN, "repeat")), CONV.format(rel="chats", taps=taps(BIN, "x"), sy="a.y - dy", sx="least(greatest(a.x - dx, 0), ncols - 1)"), "chats size")
+add_pixels("convolve_y", lambda s, d: r6(N.convolve_y(chats(s, d), BIN, "wrap")), CONV.format(rel="chats", taps=taps(BIN, "y"), sy="((a.y - dy) % nrows + nrows) % nrows", sx="a.x - dx"), "chats size")
+add_pixels("gaussian_smoothing", lambda s, d: r6(N.gaussian_smoothing(chats(s, d))), ", a AS (" + CONV.format(rel="chats", taps=taps(N.gaussian_kernel(), "x"), sy="a.y", sx=m("a.x - dx", "ncols")).replace("round(sum(p.w * coalesce(q.v, 0)), 6)", "sum(p.w * coalesce(q.v, 0))") + ") " + CONV.format(rel="a", taps=taps(N.gaussian_kernel(), "y"), sy=m("a.y - dy", "nrows"), sx="a.x"), "chats size")
+add_pixels("convolve_clip", lambda s, d: r6(N.convolve(chats(s, d), [[0.1, 0.2, 0.1], [0.0, 0.4, 0.0], [0.1, 0.0, 0.1]], "clip")))
+add_pixels("convolve_avoid", lambda s, d: r6(N.convolve(chats(s, d), [[0.25, 0.5, 0.25]], "avoid")))
+add_pixels("convolve_xy", lambda s, d: r6(N.convolve_xy(chats(s, d), N.averaging_kernel(1))))
+add_pixels("gaussian_gradient", lambda s, d: r6(N.gaussian_gradient(chats(s, d))[0].join(N.gaussian_gradient(chats(s, d))[1].withColumnRenamed("v", "w"), KEY), "v", "w"), values=("v", "w"))
+add_pixels("laplacian_of_gaussian", lambda s, d: r6(N.laplacian_of_gaussian(chats(s, d))))
+add_pixels("hessian_matrix_of_gaussian", lambda s, d: r6(N.hessian_matrix_of_gaussian(chats(s, d))[2]))
+add_pixels("sobel_edge_detection", lambda s, d: r6(N.sobel_edge_detection(chats(s, d))))
+add_pixels("create_gabor_filter", lambda s, d: r6(N.create_gabor_filter(chats(s, d))))
 
 # --- kernels ---------------------------------------------------------------------------------------
 
 for name in ("thin_zs", "thin_hs", "thin_lc", "kfill", "kfill_modified", "remove_border"):
-    add(name, lambda s, d, name=name: R.by_image(R.ink(chats2(s, d), 100), getattr(K, name)))
+    add_pixels(name, lambda s, d, name=name: R.by_image(R.ink(chats2(s, d), 100), getattr(K, name)))
 for norm in ("chessboard", "manhattan", "euclidean"):
-    add(f"distance_transform_{norm}", lambda s, d, norm=norm: r6(R.by_image(R.ink(chats2(s, d), 60), lambda a: K.distance_transform(a, norm), "double")))
+    add_pixels(f"distance_transform_{norm}", lambda s, d, norm=norm: r6(R.by_image(R.ink(chats2(s, d), 60), lambda a: K.distance_transform(a, norm), "double")))
 for name in ("canny_edge_image", "difference_of_exponential_edge_image", "difference_of_exponential_crack_edge_image"):
-    add(name, lambda s, d, name=name: R.by_image(chats(s, d), getattr(K, name)))
+    add_pixels(name, lambda s, d, name=name: R.by_image(chats(s, d), getattr(K, name)))
 DRAW = {
     "flood_fill": lambda a: K.flood_fill(a, 0, 0, 9),
     "draw_line": lambda a: K.draw_line(a, 0, 0, 5, 12, 1, 2),
@@ -106,7 +106,7 @@ DRAW = {
     "white_speckles": lambda a: K.white_speckles(a, 0.02, 5),
 }
 for name, f in DRAW.items():
-    add(name, lambda s, d, f=f: R.by_image(dots(s, d), f))
+    add_pixels(name, lambda s, d, f=f: R.by_image(dots(s, d), f))
 
 # --- thresholds ------------------------------------------------------------------------------------
 
@@ -116,15 +116,15 @@ c AS (SELECT image_id, v, sum(n) OVER u AS w, sum(v * n) OVER u AS m, sum(n) OVE
 z AS (SELECT image_id, v, CASE WHEN w < nt THEN (mt * w - m * nt)::DOUBLE * (mt * w - m * nt)::DOUBLE / (w::DOUBLE * (nt - w)) END AS s FROM c),
 t AS (SELECT image_id, coalesce(arg_max(v, (s, -v)) FILTER (s > 0), 127)::INT AS t FROM z GROUP BY image_id) """
 add("otsu_find_threshold", lambda s, d: T.otsu_find_threshold(chats(s, d)), OTSU + "SELECT image_id, t FROM t", "chats")
-add("otsu_threshold", lambda s, d: T.otsu_threshold(chats(s, d)), OTSU + "SELECT image_id, y, x, (v <= t)::INT AS v FROM chats JOIN t USING (image_id)", "chats")
-add("to_onebit", lambda s, d: T.otsu_threshold(P.rgb_to_greyscale(rgb(chats(s, d)))))
+add_pixels("otsu_threshold", lambda s, d: T.otsu_threshold(chats(s, d)), OTSU + "SELECT image_id, y, x, (v <= t)::INT AS v FROM chats JOIN t USING (image_id)", "chats")
+add_pixels("to_onebit", lambda s, d: T.otsu_threshold(P.rgb_to_greyscale(rgb(chats(s, d)))))
 TSAI = """, h AS (SELECT image_id, v, count(*) AS n FROM chats GROUP BY image_id, v),
 m AS (SELECT image_id, sum(n) AS nt, sum(v::DOUBLE * n) / sum(n) AS m1, sum(v::DOUBLE ** 2 * n) / sum(n) AS m2, sum(v::DOUBLE ** 3 * n) / sum(n) AS m3 FROM h GROUP BY image_id),
 k AS (SELECT *, m2 - m1 * m1 AS cd, CASE WHEN m2 - m1 * m1 > 0 THEN (-m2 * m2 + m1 * m3) / (m2 - m1 * m1) END AS c0, CASE WHEN m2 - m1 * m1 > 0 THEN (-m3 + m2 * m1) / (m2 - m1 * m1) END AS c1 FROM m),
 p AS (SELECT image_id, nt, (0.5 * (-c1 + sqrt(c1 * c1 - 4 * c0)) - m1) / sqrt(c1 * c1 - 4 * c0) AS p0 FROM k),
 c AS (SELECT h.image_id, v, sum(n) OVER (PARTITION BY h.image_id ORDER BY v) AS cum, nt, p0 FROM h JOIN p USING (image_id)) """
 add("tsai_moment_preserving_find_threshold", lambda s, d: T.tsai_find_threshold(chats(s, d)), TSAI + "SELECT image_id, coalesce(min(v) FILTER (cum > p0 * nt), 256)::INT AS t FROM c GROUP BY image_id", "chats")
-add("tsai_moment_preserving_threshold", lambda s, d: T.tsai_threshold(chats(s, d)), TSAI + ", t AS (SELECT image_id, coalesce(min(v) FILTER (cum > p0 * nt), 256)::INT AS t FROM c GROUP BY image_id) SELECT image_id, y, x, (v <= CASE WHEN t = 255 THEN 0 ELSE t END)::INT AS v FROM chats JOIN t USING (image_id)", "chats")
+add_pixels("tsai_moment_preserving_threshold", lambda s, d: T.tsai_threshold(chats(s, d)), TSAI + ", t AS (SELECT image_id, coalesce(min(v) FILTER (cum > p0 * nt), 256)::INT AS t FROM c GROUP BY image_id) SELECT image_id, y, x, (v <= CASE WHEN t = 255 THEN 0 ELSE t END)::INT AS v FROM chats JOIN t USING (image_id)", "chats")
 add(
     "brink_threshold",
     lambda s, d: T.brink_find_threshold(chats(s, d)),
@@ -135,8 +135,8 @@ s AS (SELECT f.image_id, f.t, sum(CASE WHEN h.v <= f.t THEN h.p * (mf * ln(mf /
 SELECT i.image_id, (coalesce(arg_min(s.t, (round(s.s, 9), s.t)), 0) + 1)::INT AS t FROM (SELECT DISTINCT image_id FROM h) i LEFT JOIN s USING (image_id) GROUP BY i.image_id""",
     "chats",
 )
-add("abutaleb_threshold", lambda s, d: T.abutaleb_threshold(chats(s, d)))
-add(
+add_pixels("abutaleb_threshold", lambda s, d: T.abutaleb_threshold(chats(s, d)))
+add_pixels(
     "bernsen_threshold",
     lambda s, d: T.bernsen_threshold(chats(s, d), 3, 60),
     """, o AS (SELECT dy, dx FROM (SELECT unnest([-1, 0]) AS dy), (SELECT unnest([-1, 0]) AS dx)),
@@ -145,19 +145,19 @@ SELECT w.image_id, w.y, w.x, CASE WHEN max(q.v) - min(q.v) < 60 THEN 0 WHEN w.v
     "chats size",
 )
 CUT = "CASE WHEN v < 20 THEN 1 WHEN v >= 150 THEN 0 WHEN v > {} THEN 0 ELSE 1 END AS v"
-add("niblack_threshold", lambda s, d: T.niblack_threshold(chats(s, d), 5), f"SELECT image_id, y, x, {CUT.format('m - 0.2 * sqrt(var)')} FROM ({LOCAL} {near_sql('chats', 2)} {GP})", "chats")
-add("sauvola_threshold", lambda s, d: T.sauvola_threshold(chats(s, d), 5), f"SELECT image_id, y, x, {CUT.format('m + (1 - 0.5 * (1 - sqrt(var) / 128))')} FROM ({LOCAL} {near_sql('chats', 2)} {GP})", "chats")
+add_pixels("niblack_threshold", lambda s, d: T.niblack_threshold(chats(s, d), 5), f"SELECT image_id, y, x, {CUT.format('m - 0.2 * sqrt(var)')} FROM ({LOCAL} {near_sql('chats', 2)} {GP})", "chats")
+add_pixels("sauvola_threshold", lambda s, d: T.sauvola_threshold(chats(s, d), 5), f"SELECT image_id, y, x, {CUT.format('m + (1 - 0.5 * (1 - sqrt(var) / 128))')} FROM ({LOCAL} {near_sql('chats', 2)} {GP})", "chats")
 GB = f", b AS (SELECT c.image_id, c.y, c.x, c.v, (c.v <= 100) AS ink FROM chats c), g AS (SELECT p.image_id, p.y, p.x, p.v, p.ink, (CASE WHEN NOT p.ink THEN p.v ELSE coalesce(floor(avg(q.v::DOUBLE) FILTER (NOT q.ink) + 0.5), 255) END)::INT AS bg {near_sql('b', 2)} GROUP BY p.image_id, p.y, p.x, p.v, p.ink) "
-add("gatos_background", lambda s, d: T.gatos_background(chats(s, d), T.threshold(chats(s, d), 100), 5), GB + "SELECT image_id, y, x, bg AS v FROM g", "chats")
-add(
+add_pixels("gatos_background", lambda s, d: T.gatos_background(chats(s, d), T.threshold(chats(s, d), 100), 5), GB + "SELECT image_id, y, x, bg AS v FROM g", "chats")
+add_pixels(
     "gatos_threshold",
     lambda s, d: T.gatos_threshold(chats(s, d), T.gatos_background(chats(s, d), T.threshold(chats(s, d), 100), 5), T.threshold(chats(s, d), 100)),
     GB + ", s AS (SELECT image_id, sum(CASE WHEN ink THEN bg - v ELSE 0 END)::DOUBLE / nullif(sum(ink::INT), 0) AS delta, avg(bg) FILTER (NOT ink) AS b FROM g GROUP BY image_id) SELECT image_id, y, x, coalesce(bg - v > 0.6 * delta * (0.2 / (1 + exp(-4 * bg / (b * 0.5) + 6.0)) + 0.8), false)::INT AS v FROM g JOIN s USING (image_id)",
     "chats",
 )
-add("shading_subtraction", lambda s, d: T.shading_subtraction(chats(s, d), 5, 40), f"SELECT p.image_id, p.y, p.x, (max(q.v) - p.v >= 40)::INT AS v {near_sql('chats', 2)} {GP}", "chats")
-add("shading_subtraction_auto", lambda s, d: T.shading_subtraction(chats(s, d), 5))
-add("soft_threshold", lambda s, d: T.soft_threshold(chats(s, d), 100, 20.0), "SELECT image_id, y, x, least(255, floor(256 / (1 + exp(-(v - 100) / 20.0::DOUBLE * pi() / sqrt(3.0::DOUBLE))) + 0.5))::INT AS v FROM chats", "chats")
+add_pixels("shading_subtraction", lambda s, d: T.shading_subtraction(chats(s, d), 5, 40), f"SELECT p.image_id, p.y, p.x, (max(q.v) - p.v >= 40)::INT AS v {near_sql('chats', 2)} {GP}", "chats")
+add_pixels("shading_subtraction_auto", lambda s, d: T.shading_subtraction(chats(s, d), 5))
+add_pixels("soft_threshold", lambda s, d: T.soft_threshold(chats(s, d), 100, 20.0), "SELECT image_id, y, x, least(255, floor(256 / (1 + exp(-(v - 100) / 20.0::DOUBLE * pi() / sqrt(3.0::DOUBLE))) + 0.5))::INT AS v FROM chats", "chats")
 add("soft_threshold_find_sigma", lambda s, d: r6(T.soft_threshold_find_sigma(chats(s, d), 100), "sigma"), "SELECT image_id, round((coalesce(avg(v) FILTER (v > 100), 101) - 100) * pi() / (4.59512::DOUBLE * sqrt(3.0::DOUBLE)), 6) AS sigma FROM chats GROUP BY image_id", "chats")
-add("white_rohrer_threshold", lambda s, d: T.white_rohrer_threshold(chats(s, d)))
-add("djvu_threshold", lambda s, d: T.djvu_threshold(rgb(chats(s, d))))
+add_pixels("white_rohrer_threshold", lambda s, d: T.white_rohrer_threshold(chats(s, d)))
+add_pixels("djvu_threshold", lambda s, d: T.djvu_threshold(rgb(chats(s, d))))

@@ -11,7 +11,8 @@ from .base import QUERIES, SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    """Those with SQL first."""
+    return {k: QUERIES[k] for k in sorted(QUERIES, key=lambda k: k not in SQL)}
 
 
 def oracle_sql() -> dict[str, str]:

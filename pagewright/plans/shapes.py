@@ -9,7 +9,7 @@ from ..operators import geometry as G
 from ..operators import kernels as K
 from ..operators import segment as S
 from ..sources import raster as R
-from .base import add, chats2, docs, dots, keep, rects
+from .base import add, add_pixels, chats2, docs, dots, keep, rects
 
 KEY = ["image_id", "y", "x"]
 
@@ -61,10 +61,10 @@ FREQ = DH + ', h AS (SELECT image_id, ("end" - start + 1)::INT AS length, count(
 add("most_frequent_run", lambda s, d: Q.most_frequent_run(dots(s, d)), FREQ + "SELECT image_id, length FROM h QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, length) = 1", "dots")
 add("most_frequent_runs", lambda s, d: Q.most_frequent_runs(dots(s, d), 3), FREQ + "SELECT image_id, length, n, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, length) AS rank FROM h QUALIFY rank <= 3", "dots")
 GONE = ' , g AS (SELECT image_id, line, unnest(range(start, "end" + 1)) AS pos FROM runs WHERE black AND "end" - start + 1 {} {}) SELECT d.image_id, d.y, d.x, CASE WHEN g.pos IS NULL THEN d.v ELSE 0 END AS v FROM dots d LEFT JOIN g ON g.image_id = d.image_id AND g.line = d.{} AND g.pos = d.{}'
-add("filter_narrow_runs", lambda s, d: Q.filter_runs(dots(s, d), 4, "long"), DH + GONE.format("<", 4, "y", "x"), "dots")
-add("filter_wide_runs", lambda s, d: Q.filter_runs(dots(s, d), 4, "short"), DH + GONE.format(">", 4, "y", "x"), "dots")
-add("filter_short_runs", lambda s, d: Q.filter_runs(dots(s, d), 4, "long", direction="vertical"), DV + GONE.format("<", 4, "x", "y"), "dots")
-add("filter_tall_runs", lambda s, d: Q.filter_runs(dots(s, d), 4, "short", direction="vertical"), DV + GONE.format(">", 4, "x", "y"), "dots")
+add_pixels("filter_narrow_runs", lambda s, d: Q.filter_runs(dots(s, d), 4, "long"), DH + GONE.format("<", 4, "y", "x"), "dots")
+add_pixels("filter_wide_runs", lambda s, d: Q.filter_runs(dots(s, d), 4, "short"), DH + GONE.format(">", 4, "y", "x"), "dots")
+add_pixels("filter_short_runs", lambda s, d: Q.filter_runs(dots(s, d), 4, "long", direction="vertical"), DV + GONE.format("<", 4, "x", "y"), "dots")
+add_pixels("filter_tall_runs", lambda s, d: Q.filter_runs(dots(s, d), 4, "short", direction="vertical"), DV + GONE.format(">", 4, "x", "y"), "dots")
 add(
     "to_rle",
     lambda s, d: Q.to_rle(dots(s, d)),
@@ -73,7 +73,7 @@ u AS (SELECT image_id, b, min(k) AS k, count(*) AS n FROM r GROUP BY image_id, b
 SELECT image_id, (CASE WHEN arg_min(b, k) THEN '0 ' ELSE '' END) || string_agg(n::VARCHAR, ' ' ORDER BY k) || (CASE WHEN arg_max(b, k) THEN '' ELSE ' 0' END) AS rle FROM u GROUP BY image_id""",
     "dots",
 )
-add("rle_round_trip", lambda s, d: Q.from_rle(Q.to_rle(dots(s, d)).join(R.sizes(dots(s, d)), "image_id")), "SELECT image_id, y, x, v FROM dots JOIN size USING (image_id) WHERE ncols = 32 OR nrows = 1", "dots size")
+add_pixels("rle_round_trip", lambda s, d: Q.from_rle(Q.to_rle(dots(s, d)).join(R.sizes(dots(s, d)), "image_id")), "SELECT image_id, y, x, v FROM dots JOIN size USING (image_id) WHERE ncols = 32 OR nrows = 1", "dots size")
 add(
     "runlength_from_point",
     lambda s, d: Q.runlength_from_point(dots(s, d), 2, 0, "black", "right"),
@@ -121,12 +121,12 @@ cc AS (SELECT b.*, (SELECT min(root) FROM reach r WHERE r.image_id = b.image_id
 SELECT image_id, min(x) AS ulx, min(y) AS uly, max(x) AS lrx, max(y) AS lry, count(*) AS n FROM cc GROUP BY image_id, root""",
     "chats2",
 )
-add("despeckle", lambda s, d: S.despeckle(R.ink(chats2(s, d), 200), 3, keep))
+add_pixels("despeckle", lambda s, d: S.despeckle(R.ink(chats2(s, d), 200), 3, keep))
 for axis, name, c in (("x", "splitx", 0.5), ("y", "splity", 0.5), ("x", "splitx_left", 0.25), ("x", "splitx_right", 0.75), ("y", "splity_top", 0.25), ("y", "splity_bottom", 0.75)):
     add(name, lambda s, d, axis=axis, c=c: S.split(dots(s, d), axis, (c,)))
 add("splitx_max", lambda s, d: S.split(dots(s, d), "x", (0.5,), True))
 add("projection_cutting", lambda s, d: S.projection_cutting(R.ink(chats2(s, d), 200), 2, 1))
-add(
+add_pixels(
     "runlength_smearing",
     lambda s, d: S.runlength_smearing(R.ink(chats2(s, d), 200), 6, 3, 2),
     """, o AS (SELECT image_id, y, x, (v > 200)::INT AS v FROM chats2),
@@ -206,8 +206,8 @@ add(
 add("least_squares_fit_xy", lambda s, d: G.least_squares_fit_xy(points(s, d)).select("image_id", F.round("b", 6).alias("b"), F.round("a", 4).alias("a"), "x_of_y"), "SELECT image_id, round(CASE WHEN t THEN regr_slope(ulx, uly) ELSE regr_slope(uly, ulx) END, 6) AS b, round(CASE WHEN t THEN regr_intercept(ulx, uly) ELSE regr_intercept(uly, ulx) END, 4) AS a, t::INT AS x_of_y FROM rects JOIN (SELECT image_id, max(uly) - min(uly) >= max(ulx) - min(ulx) AS t FROM rects GROUP BY image_id) USING (image_id) GROUP BY image_id, t", "rects")
 add("hough_lines", lambda s, d: G.hough_lines(R.ink(chats2(s, d), 200).where("v > 0"), 0.0, 15.0, 12))
 add("delaunay_from_points", lambda s, d: G.delaunay_pairs(S.union_rects(rects(s, d).withColumn("c", F.floor(F.col("ulx") / 250) * 4 + F.floor(F.col("uly") / 250)), "image_id", "c").select("image_id", F.col("c").cast("long").alias("label"), F.col("ulx").cast("double").alias("x"), F.col("uly").cast("double").alias("y"))))
-add("voronoi_from_labeled_image", lambda s, d: R.by_image(chats2(s, d).withColumn("v", F.when(F.col("v") > 240, F.col("v") % 7 + 1).otherwise(0)), K.voronoi_from_labeled_image))
-add(
+add_pixels("voronoi_from_labeled_image", lambda s, d: R.by_image(chats2(s, d).withColumn("v", F.when(F.col("v") > 240, F.col("v") % 7 + 1).otherwise(0)), K.voronoi_from_labeled_image))
+add_pixels(
     "voronoi_from_points",
     lambda s, d: G.voronoi_from_points(R.ink(chats2(s, d), 200), R.sizes(chats2(s, d)).select("image_id", F.explode(F.array(*[F.struct(F.lit(i).alias("label"), F.lit(y).alias("y"), F.lit(x).alias("x")) for i, (y, x) in enumerate(((1, 2), (3, 20), (6, 9)), 2)])).alias("p")).select("image_id", "p.*")),
     """, o AS (SELECT image_id, y, x, (v > 200)::INT AS v FROM chats2), p AS (SELECT * FROM (VALUES (2, 1, 2), (3, 3, 20), (4, 6, 9)) t(label, py, px))
