@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -91,6 +92,8 @@ def scratch_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="pagewright-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -108,6 +111,51 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def identified(docs: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """``docs`` with two more columns that identify a row for good, and their names.
+
+    Rows of Parquet files are named by a hash of their file and their place in it, which stay the same however the
+    files are split into tasks. Any other input is numbered once and written, so that later scans see the same numbers.
+    """
+    names = tuple(free_name(docs, x) for x in ("__file", "__row"))
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName() == "LogicalRelation":
+        try:
+            meta = docs.metadataColumn("_metadata")
+            return docs.withColumns({names[0]: F.xxhash64(meta["file_path"]), names[1]: meta["row_index"]}), names
+        except AnalysisException:  # a source without places of rows
+            pass
+    numbered = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.monotonically_increasing_id()})
+    return materialize(numbered, "numbered"), names
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key of more rows than this, and than one in HOT_KEYS of all rows, is dealt to several tasks.
+HOT_ROWS, HOT_KEYS = 512, 10_000
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``big`` with ``small``, whose rows are unique by ``key`` and hold in ``n`` how many rows of ``big`` have it.
+
+    Frequent keys are salted: their rows of ``big`` are dealt over as many parts as they need, each of which gets a
+    copy of the key's row of ``small``. At most HOT_KEYS keys can be frequent, so their list may be broadcast.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(small.where(F.col(n) > least).select(key, F.ceil(F.col(n) / least).cast("int").alias("__parts")))
+    spread = big.join(hot, key, "left").withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*big.columns), F.col("__parts"))).cast("int")).drop("__parts")
+    copies = small.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return spread.join(copies, [key, "__salt"]).drop("__salt")
+
+
 def smallest_hashes(df: DataFrame, n: int, order: str = "order") -> DataFrame:
     """The n rows of smallest 64-bit hash ``order``.
 

@@ -10,8 +10,13 @@ one, hashed together with the place, and hashed alone beside the whole line's ha
 a key are near, each needs only the earliest it meets, and no pairs are listed however many meet. The
 earliest is verified by its edit distance.
 
-Only lines that can have a neighbour emit: a single edit leaves the line's first or last half as it is,
-so lines whose halves no other line has are left out beforehand (exactly: no neighbour is lost).
+Only lines that can have a neighbour emit, and only the deletions that can meet it: a single edit leaves the
+line's first or last half as it is, so a line emits deletions behind a first half and before a last half that
+another line has as well (exactly: no neighbour is lost). The lines that emit are found again in the texts by
+a filter in memory, sized by their number; beyond FILTER_PLACES of them by a join with the texts.
+
+A row is named by its file and its place in it (``common.identified``), so all scans agree on it however the
+files are split and whichever executors are lost. Keys that many lines share are salted.
 """
 
 from __future__ import annotations
@@ -19,16 +24,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import free_name, identified, join_hot, map_rows, materialize
 
 SHORTEST = 5
-#: Bits of the filter of lines that emit. A fuller filter passes lines in vain but loses none.
-FILTER_BITS = 1 << 25
+#: Emitting halves up to which their lines are found by a filter of 16 bits each, 32 MB at most.
+FILTER_PLACES = 1 << 24
+#: Bits that one row of the filter holds.
+SLICE = 1 << 18
 LAST = 2**63 - 1
+PLACE = "struct<doc:long,file:long,row:long,line:int>"
+#: Lowest bits of keys: a half's side; what a variant is.
+FIRST, FINAL = 0, 1
+PLACED, WHOLE, WITHOUT = 0, 1, 2
 
 
 def signed(x: int) -> int:
@@ -45,15 +57,16 @@ def line_words(line: bytes, shortest: int) -> list[bytes] | None:
 
 
 def half_keys(words: list[bytes]) -> set[int]:
-    """Hashes of which lines one edit apart share at least one."""
+    """Hashes of which lines one edit apart share at least one; the lowest bit is the side."""
     n = len(words)
-    first = {digest(words[:k], 1) for k in {n // 2, (n - 1) // 2}}
-    return first | {digest(words[-k:], 2) for k in {(n + 1) // 2, n // 2}}
+    first = {digest(words[:k], 1) & ~1 | FIRST for k in {n // 2, (n - 1) // 2}}
+    return first | {digest(words[-k:], 2) & ~1 | FINAL for k in {(n + 1) // 2, n // 2}}
 
 
-def slot_of(doc_id: int | None, row: int, line: int) -> int:
-    """Number of an occurrence for the filter."""
-    return xxhash.xxh3_64_intdigest(b"%d %d %d" % (LAST if doc_id is None else doc_id, row, line))
+def slots_of(file: int, row: int, line: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """Two numbers of 32 bits for each side of a line, for the filter."""
+    h = xxhash.xxh3_128_intdigest(b"%d %d %d" % (file, row, line))
+    return (h & 0xFFFFFFFF, h >> 32 & 0xFFFFFFFF), (h >> 64 & 0xFFFFFFFF, h >> 96)
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -66,128 +79,137 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-
-
-def all_lines(docs: DataFrame, shortest: int, equal: int) -> DataFrame:
-    """(hash, at: place as doc_id, row and line, halves) of every line of at least ``equal`` words; no halves below ``shortest``."""
+def all_lines(texts: DataFrame, shortest: int, equal: int) -> DataFrame:
+    """(hash, at, halves) of every line of at least ``equal`` words; no halves below ``shortest``. texts: file, row, doc_id, text."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for row, doc_id, raw in rows:
+        for file, row, doc_id, raw in rows:
             for k, line in enumerate((raw or b"").split(b"\n")):
                 if words := line_words(line, equal):
                     halves = list(half_keys(words)) if len(words) >= shortest else []
-                    yield digest(words), {"doc": LAST if doc_id is None else doc_id, "row": row, "line": k}, halves
+                    yield digest(words), {"doc": LAST if doc_id is None else doc_id, "file": file, "row": row, "line": k}, halves
 
-    return map_rows(numbered(docs), run, "hash long, at struct<doc:long,row:long,line:int>, halves array<long>", binary=("text",))
+    return map_rows(texts, run, f"hash long, at {PLACE}, halves array<long>", binary=("text",))
 
 
-def filter_of(places: DataFrame) -> np.ndarray:
-    """A bit array of fixed size with two bits set for each place (doc, row, line)."""
+def filter_of(places: DataFrame, n: int) -> np.ndarray:
+    """A bit array with two bits set for each of the n sides of lines that emit, in whole slices."""
+    size = max(SLICE, 1 << (16 * n - 1).bit_length())
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        some = False
-        for doc, row, line in rows:
-            h = slot_of(doc, row, line)
-            for x in (h % FILTER_BITS, (h >> 32) % FILTER_BITS):
-                bits[x >> 3] |= 1 << (x & 7)
-            some = True
-        if some:
-            yield (bits.tobytes(),)
-
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in map_rows(places.coalesce(8), run, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return bits
-
-
-def variants(docs: DataFrame, emit: DataFrame, shortest: int) -> DataFrame:
-    """(hash, at, words, whole, without, placed) of the lines at the places ``emit`` lists, and of a few more.
-
-    whole: hash of all words; without: hashes of the words less one; placed: the same with the place.
-    """
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(filter_of(emit))  # FILTER_BITS
+    def positions(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for file, row, line, *sides in rows:
+            for own, x in zip(sides, slots_of(file, row, line), strict=True):
+                if own:
+                    for bit in x:
+                        yield bit % size // SLICE, bit % size % SLICE
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own = bits.value
-        for row, doc_id, raw in rows:
-            for k, line in enumerate((raw or b"").split(b"\n")):
-                words = line_words(line, shortest)
-                if not words:
-                    continue
-                h = slot_of(doc_id, row, k)
-                a, b = h % FILTER_BITS, (h >> 32) % FILTER_BITS
-                if own[a >> 3] >> (a & 7) & 1 and own[b >> 3] >> (b & 7) & 1:
-                    yield digest(words), {"doc": LAST if doc_id is None else doc_id, "row": row, "line": k}, b" ".join(words), digest(words, 3), *deletions(words)
-
-    schema = "hash long, at struct<doc:long,row:long,line:int>, words binary, whole long, without array<long>, placed array<long>"
-    return map_rows(numbered(docs), run, schema, binary=("text",))
-
-
-def deletions(words: list[bytes]) -> tuple[list[int], list[int]]:
-    """The deletion neighbourhood as hashes, bare and with the place."""
-    without, placed = [], []
-    for k in range(len(words)):
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(SLICE, dtype=np.uint8)
+        bits[pdf["bit"].to_numpy()] = 1
+        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    set_ = map_rows(places.select("at.file", "at.row", "at.line", "first", "final"), positions, "slice int, bit int")
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for r in set_.groupBy("slice").applyInPandas(pack, "slice int, bits binary").collect():  # the filter itself
+        out[r["slice"] * SLICE // 8 : (r["slice"] + 1) * SLICE // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def variants(texts: DataFrame, emit: DataFrame, shortest: int, most: int = FILTER_PLACES) -> DataFrame:
+    """(at, words, keys) of the lines that ``emit`` lists (at, first, final: the sides that others share), and of a few more by chance."""
+    schema = f"at {PLACE}, words binary, keys array<long>"
+    n = emit.select(F.coalesce(F.sum(F.col("first").cast("int") + F.col("final").cast("int")), F.lit(0))).first()[0]
+
+    def made(file: int, row: int, doc_id: int | None, k: int, words: list[bytes], first: bool, final: bool) -> tuple:
+        return {"doc": LAST if doc_id is None else doc_id, "file": file, "row": row, "line": k}, b" ".join(words), keys_of(words, first, final)
+
+    if n <= most:
+        bits = texts.sparkSession.sparkContext.broadcast(filter_of(emit, n))  # 2 bytes for each of at most FILTER_PLACES
+
+        def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+            own = bits.value
+            size = len(own) * 8
+            has = lambda x: own[(a := x[0] % size) >> 3] >> (a & 7) & 1 and own[(b := x[1] % size) >> 3] >> (b & 7) & 1
+            for file, row, doc_id, raw in rows:
+                for k, line in enumerate((raw or b"").split(b"\n")):
+                    first, final = map(has, slots_of(file, row, k))
+                    if (first or final) and (words := line_words(line, shortest)):
+                        yield made(file, row, doc_id, k, words, first, final)
+
+        return map_rows(texts, run, schema, binary=("text",))
+
+    def of_list(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for file, row, doc_id, raw, places in rows:
+            pieces = (raw or b"").split(b"\n")
+            for x in places:
+                yield made(file, row, doc_id, x["line"], line_words(pieces[x["line"]], shortest), x["first"], x["final"])
+
+    listed = emit.groupBy(F.col("at.file").alias("file"), F.col("at.row").alias("row")).agg(F.collect_list(F.struct("at.line", "first", "final")).alias("places"))
+    return map_rows(texts.join(listed, ["file", "row"]).select("file", "row", "doc_id", "text", "places"), of_list, schema, binary=("text",))
+
+
+def keys_of(words: list[bytes], first: bool = True, final: bool = True) -> list[int]:
+    """The line's hash and its deletion neighbourhood as hashes, bare and with the place; the lowest two bits say which.
+
+    first: an edit may lie behind the first half; final: one may lie before the last half.
+    """
+    n = len(words)
+    out = {digest(words, 3) & ~3 | WHOLE}
+    for k in range(0 if final else (n - 1) // 2, n if first else (n + 1) // 2):
         rest = b" ".join(words[:k] + words[k + 1 :])
-        if not k or words[k] != words[k - 1]:  # deleting either of two equal neighbours leaves the same
-            without.append(signed(xxhash.xxh3_64_intdigest(rest, 3)))
-        placed.append(signed(xxhash.xxh3_64_intdigest(rest, 4 + k)))
-    return without, placed
-
-
-def duplicate_lines(docs: DataFrame, shortest: int = SHORTEST, equal: int = SHORTEST) -> DataFrame:
-    """(row, lines): the line numbers to drop in each row of ``docs`` that loses some; row as ``numbered`` numbers."""
-    lines = materialize(all_lines(docs, shortest, equal), "lines")
-    first = lines.groupBy("hash").agg(F.min(F.struct("at", "halves")).alias("x"))  # copies of a line share their halves
-    distinct = materialize(first.select("hash", "x.at", "x.halves"), "distinct")
-    keyed = distinct.select("hash", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("half")
-    emit = keyed.join(shared, "half").select("hash").distinct().join(distinct, "hash").select("at.doc", "at.row", "at.line")
-    near = materialize(variants(docs, emit, shortest), "variants")
-    tagged = lambda kind, keys: F.transform(keys, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
-    kinds = F.concat(tagged(0, F.col("placed")), tagged(1, F.array("whole")), tagged(2, F.col("without")))
-    each = near.select("hash", "at", F.explode(kinds).alias("k")).select("hash", "at", "k.kind", "k.key")
-    whole = F.col("kind") == 1
-    meets = each.groupBy("key").agg(
-        F.min(F.when(F.col("kind") == 0, F.struct("at", "hash"))).alias("replaced"),
-        F.min(F.when(whole, F.struct("at", "hash"))).alias("short"),
-        F.min(F.when(F.col("kind") == 2, F.struct("at", "hash"))).alias("long"),
-        F.count("*").alias("n"),
-    )
-    met = F.when(F.col("kind") == 0, F.col("replaced")).when(whole, F.col("long")).otherwise(F.col("short"))
-    witness = each.join(meets.where("n > 1"), "key").select("hash", "at", met.alias("w")).where("w.at < at").groupBy("hash").agg(F.min("w").alias("w"))
-    texts = near.select("hash", "words").dropDuplicates(["hash"])
-    other = texts.select(F.col("hash").alias("of"), F.col("words").alias("earlier"))
-    candidates = witness.select("hash", F.col("w.hash").alias("of")).join(texts, "hash").join(other, "of").select("hash", "words", "earlier")
+        out.add(signed(xxhash.xxh3_64_intdigest(rest, 3)) & ~3 | WITHOUT)
+        out.add(signed(xxhash.xxh3_64_intdigest(rest, 4 + k)) & ~3 | PLACED)
+    return list(out)
+
+
+def duplicate_lines(texts: DataFrame, shortest: int = SHORTEST, equal: int = 1, most: int = FILTER_PLACES) -> DataFrame:
+    """(file, row, lines): the line numbers to drop in each row of ``texts`` (file, row, doc_id, text) that loses some."""
+    lines = materialize(all_lines(texts, shortest, equal), "lines")
+    first = lines.groupBy("hash").agg(F.min(F.struct("at", "halves")).alias("x"), F.count("*").alias("n"))  # copies of a line share their halves
+    distinct = materialize(first.select("hash", "x.at", "x.halves", "n"), "distinct")
+    keyed = distinct.select("at", F.explode("halves").alias("half"))
+    shared = materialize(keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), "halves")
+    side = F.col("half").bitwiseAND(F.lit(1))
+    emit = join_hot(keyed, shared, "half", "n", distinct.count()).groupBy("at").agg(F.max(side == FIRST).alias("first"), F.max(side == FINAL).alias("final"))
+    near = materialize(variants(texts, materialize(emit, "emit"), shortest, most), "variants")
+    each = near.select("at", F.explode("keys").alias("k")).select("at", F.col("k").bitwiseAND(F.lit(-4)).alias("key"), F.col("k").bitwiseAND(F.lit(3)).cast("int").alias("kind"))
+    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("at")))
+    meets = each.groupBy("key").agg(least(PLACED).alias("replaced"), least(WHOLE).alias("short"), least(WITHOUT).alias("long"), F.count("*").alias("n"))
+    meets = materialize(meets.where("n > 1"), "meets")
+    met = F.when(F.col("kind") == PLACED, F.col("replaced")).when(F.col("kind") == WHOLE, F.col("long")).otherwise(F.col("short"))
+    witness = join_hot(each, meets, "key", "n", near.count()).select("at", met.alias("of")).where("of < at").groupBy("at").agg(F.min("of").alias("of"))
+    witness = materialize(witness, "witness")
+    wanted = witness.groupBy("of").agg(F.count("*").alias("n"))
+    earlier = materialize(wanted.join(near.select(F.col("at").alias("of"), F.col("words").alias("earlier")), "of"), "earlier")
+    candidates = join_hot(witness.join(near.select("at", "words"), "at"), earlier, "of", "n", witness.count()).select("at", "words", "earlier")
 
     def verify(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for h, a, b in rows:
+        for at, a, b in rows:
             if one_edit(a.split(b" "), b.split(b" ")):
-                yield (h,)
+                yield (at,)
 
-    gone = map_rows(candidates, verify, "hash long").withColumn("gone", F.lit(True))
-    # a line that a third of all documents repeat is a skewed key here: adaptive execution splits it
-    known = materialize(distinct.select("hash", F.col("at").alias("first")).join(gone, "hash", "left"), "known")
-    drop = lines.select("hash", "at").join(known, "hash").where("gone or at <> first")
-    return drop.groupBy("at.row").agg(F.collect_set("at.line").alias("lines"))
+    gone = map_rows(candidates, verify, f"at {PLACE}").withColumn("gone", F.lit(True))
+    known = materialize(distinct.drop("halves").join(gone, "at", "left").where("gone or n > 1").select("hash", F.col("at").alias("first"), "n", "gone"), "known")
+    drop = join_hot(lines.select("hash", "at"), known, "hash", "n", lines.count()).where("gone or at <> first")
+    return drop.groupBy(F.col("at.file").alias("file"), F.col("at.row").alias("row")).agg(F.collect_set("at.line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, equal: int = SHORTEST) -> DataFrame:
+def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, equal: int = 1, most: int = FILTER_PLACES) -> DataFrame:
     """All columns of ``docs`` with the duplicate lines cut out of ``text``, and __n_lines and __n_dropped.
 
-    ``docs`` must give the same rows in the same order each time it runs, as files do. Null text stays
-    null with no line; an empty text is one line; null ids come last in the corpus's order; a repeated
-    row loses what its first copy holds; other columns pass through; empty tables give empty results.
+    Null text stays null with no line; an empty text is one line; null ids come last in the corpus's order; of
+    lines with the same id, and of repeated rows, the one of the smaller file hash and place is the earlier, so a
+    repeated row loses what its first copy holds; long lines and texts are handled whole; other columns pass
+    through, whatever their names; empty tables give empty results.
     """
-    drop = duplicate_lines(docs, shortest, equal).withColumnRenamed("row", "__row").withColumnRenamed("lines", "__lines")
-    out = docs.withColumn("__row", F.monotonically_increasing_id()).join(drop, "__row", "left")
+    known, (file, row) = identified(docs)
+    drop = duplicate_lines(known.select(F.col(file).alias("file"), F.col(row).alias("row"), "doc_id", "text"), shortest, equal, most)
+    cut, n_lines, n_dropped = (free_name(known, x) for x in ("__lines", "__n_lines", "__n_dropped"))
+    out = known.join(drop.toDF(file, row, cut), [file, row], "left")
     pieces = F.split(F.col("text"), "\n", -1)
-    kept = F.filter(pieces, lambda _, k: ~F.array_contains("__lines", k))
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.coalesce(F.size(pieces), F.lit(0)).cast("long")
-    counts = (F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines), F.coalesce(F.when(F.col("__lines").isNotNull(), F.size("__lines")), F.lit(0)).cast("long"))
-    out = out.withColumn("__n_lines", counts[0]).withColumn("__n_dropped", counts[1]).withColumn("text", text)
-    return out.select(*docs.columns, "__n_lines", "__n_dropped")
+    kept = F.filter(pieces, lambda _, k: ~F.array_contains(cut, k))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).cast("long")
+    dropped = F.when(F.col(cut).isNotNull(), F.size(cut)).otherwise(0).cast("long")
+    out = out.withColumns({n_lines: lines, n_dropped: dropped, "text": text})
+    return out.select(*docs.columns, n_lines, n_dropped)

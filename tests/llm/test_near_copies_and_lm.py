@@ -92,15 +92,16 @@ def distance(a, b):
 
 def brute_lines(docs):
     occ = [((2**63 if i is None else i), n, k, tuple(line.encode().lower().split())) for n, (i, t) in enumerate(docs) for k, line in enumerate((t or "").split("\n"))]
-    occ = sorted((o for o in occ if len(o[3]) >= E.SHORTEST), key=lambda o: o[:3])
+    occ = sorted((o for o in occ if o[3]), key=lambda o: o[:3])
     drop, seen = set(), []
     first: dict = {}
     for o in occ:
-        if o[3] in first or any(abs(len(w) - len(o[3])) <= 1 and distance(w, o[3]) <= 1 for w in seen):
+        if o[3] in first or len(o[3]) >= E.SHORTEST and any(abs(len(w) - len(o[3])) <= 1 and distance(w, o[3]) <= 1 for w in seen):
             drop.add((o[1], o[2]))
         if o[3] not in first:
             first[o[3]] = 1
-            seen.append(o[3])
+            if len(o[3]) >= E.SHORTEST:
+                seen.append(o[3])
     return ["\n".join(x for k, x in enumerate(t.split("\n")) if (n, k) not in drop) if t is not None else None for n, (_, t) in enumerate(docs)]
 
 
@@ -118,8 +119,36 @@ def test_lines_against_brute_force(spark):
     docs = [(i, "\n".join(line() for _ in range(rng.randint(0, 6)))) for i in rng.sample(range(100), 60)]
     docs += [(200, None), (201, ""), (202, "\n\n"), (None, docs[0][1]), (203, docs[1][1]), (203, docs[1][1])]
     df = spark.createDataFrame([(a, b, n) for n, (a, b) in enumerate(docs)], "doc_id long, text string, lines int").coalesce(1)
-    got = {r["lines"]: r["text"] for r in E.dedup_lines(df).collect()}
-    assert [got[n] for n in range(len(docs))] == brute_lines(docs)
+    for most in (E.FILTER_PLACES, 0):  # by the filter and by the join
+        got = {r["lines"]: r["text"] for r in E.dedup_lines(df, most=most).collect()}
+        assert [got[n] for n in range(len(docs))] == brute_lines(docs)
+
+
+def test_lines_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    path = f"{tmp_path}/documents"
+    docs.repartition(6).write.parquet(path)
+    want = None
+    for n in ("8", "2"):
+        spark.conf.set("spark.sql.files.minPartitionNum", n)
+        try:
+            out = E.dedup_lines(spark.read.parquet(path))
+            spark.conf.set("spark.sql.files.minPartitionNum", "5")  # as if executors came or went between the passes
+            got = {r["doc_id"]: r["text"] for r in out.collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+        want = want or got
+        assert got == want
+    assert want == dict(zip(*zip(*[(r["doc_id"], r["text"]) for r in E.dedup_lines(docs).collect()], strict=True), strict=True))
+
+
+def test_very_long_and_frequent_lines(spark):
+    long = " ".join(f"w{k}" for k in range(3000))
+    docs = [(1, long), (2, long.replace("w77 ", "x ") + "\nshort"), (3, long + " tail")] + [(10 + i, "short\nshort\nthe same line of words") for i in range(1500)]
+    df = spark.createDataFrame([(*d, "a", 7) for d in docs], "doc_id long, text string, __row string, __lines int")
+    got = {r["doc_id"]: (r["text"], r["__row"], r["__lines"]) for r in E.dedup_lines(df).collect()}
+    assert got[1][0] == long and got[2][0] == "short" and got[3][0] == "" and got[10][0] == "the same line of words"
+    assert all(got[10 + i][0] == "" for i in range(1, 1500)) and {x[1:] for x in got.values()} == {("a", 7)}
 
 
 def test_many_lines_one_word_apart(spark):
