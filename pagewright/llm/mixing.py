@@ -20,6 +20,8 @@ MOST = 3  # times a document may be taken
 BLOCK_WORDS = 32
 #: Grid cells that one row stands for before they are expanded, and documents of a bucket of the shuffled order.
 CHUNK, BUCKET = 1 << 12, 2_000
+#: Slots that one task unfolds, and the most tasks that do.
+TASK_SLOTS, MOST_TASKS = 1 << 17, 1 << 15
 
 
 def word_count(text: str) -> Column:
@@ -91,11 +93,15 @@ def rank_of_slot(cell: Column, low: Column, high: Column, p: int) -> Column:
 
 
 def slots(sources: DataFrame, p: int) -> DataFrame:
-    """(slot, number, rank) of every slot of the schedule; sources as from ``intervals``."""
+    """(slot, number, rank) of every slot of the schedule; sources as from ``intervals``.
+
+    The chunks are few bytes, which adaptive execution would put into one task, so their partitions are counted here.
+    """
+    tasks = min(MOST_TASKS, max(1, (1 << p) // TASK_SLOTS))
     chunks = sources.where("high > low").select(
         "number", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / CHUNK), F.floor((F.col("high") - 1) / CHUNK))).alias("chunk")
     )
-    cells = chunks.repartition("number", "chunk").select(
+    cells = chunks.repartition(tasks, "number", "chunk").select(
         "number", "low", "high", F.explode(F.sequence(F.greatest("low", F.col("chunk") * CHUNK), F.least("high", (F.col("chunk") + 1) * CHUNK) - 1)).alias("cell")
     )
     return cells.select(bit_reversed(F.col("cell"), p).alias("slot"), "number", rank_of_slot(F.col("cell"), F.col("low"), F.col("high"), p).alias("rank"))
@@ -122,9 +128,9 @@ def shuffled_streams(sized: DataFrame, targets: DataFrame, documents: int) -> Da
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """The mixture's schedule and its totals.
 
-    Totals: one row per row of ``docs`` with doc_id, size, source_size, target and taken. Schedule: a row
-    per piece of a document in a slot (slot, number, rank, doc_id, start, size, words).
-    Null texts have no words; null is a source, the last; null ids sort first in a stream; repeated
+    Totals: one row per row of ``docs`` with doc_id, size, source_size, target and taken, and of its slots the
+    first and their number. Schedule: a row per piece of a document in a slot (slot, number, rank, doc_id, start,
+    size, words). Very long texts are cut into many blocks; ties of the shuffled order go by doc_id, then size; null texts have no words; null is a source, the last; null ids sort first in a stream; repeated
     rows are documents of their own; other columns are ignored; an empty table gives empty results.
     """
     sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("shuffle")), "sized")
@@ -140,12 +146,12 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: in
     pieces = pieces.select("number", "rank", "doc_id", "start", "size", words.alias("words"))
     # both sides unfold from few rows, which misleads size estimates: neither may be broadcast
     schedule = slots(targets, p).hint("merge").join(pieces, ["number", "rank"])
-    taken = schedule.groupBy("number", "start", "size").agg(F.sum("words").alias("taken"))
-    totals = streams.join(taken.hint("merge"), ["number", "start", "size"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = schedule.groupBy("number", "start", "size").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
+    totals = streams.join(taken.hint("merge"), ["number", "start", "size"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
     return schedule, totals
 
 
-#: DuckDB equivalent of the totals: the same shares and streams, each source's slots taken as one run of its stream.
+#: DuckDB equivalent of the totals: the same shares and streams; the schedule's slots are sorted and counted, not ranked in closed form.
 TOTALS_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
@@ -164,13 +170,19 @@ targets AS (
     CASE WHEN capped OR fs IS NULL THEN (3 * source_size)::DOUBLE ELSE (weight * (total - fs))::DOUBLE / (weights - fw) END AS target
   FROM capping, free),
 cuts AS (SELECT *, floor(sum(target) OVER (ORDER BY number) / {BLOCK_WORDS} + 0.5)::BIGINT AS high FROM targets),
-cells AS (SELECT *, high - coalesce(lag(high) OVER (ORDER BY number), 0) AS n_slots FROM cuts),
+cells AS (SELECT *, coalesce(lag(high) OVER (ORDER BY number), 0) AS low, greatest(1, len(CASE WHEN max(high) OVER () > 0 THEN bin(max(high) OVER ()) ELSE '0' END)) AS p FROM cuts),
+points AS (SELECT number, list_sum([((cell >> k) & 1) << (p - 1 - k) FOR k IN range(p)])::BIGINT AS slot FROM (SELECT number, p, unnest(range(low::BIGINT, high::BIGINT)) AS cell FROM cells)),
+slots AS (SELECT number, slot, row_number() OVER (PARTITION BY number ORDER BY slot) - 1 AS rank FROM points),
 streams AS (
-  SELECT d.doc_id, d.size, c.source_size, c.target, c.n_slots,
+  SELECT d.doc_id, d.size, c.source_size, c.target, c.number,
     coalesce(sum(d.size) OVER (PARTITION BY c.number ORDER BY d.shuffle, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized d JOIN cells c ON d.source IS NOT DISTINCT FROM c.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, n_slots * {BLOCK_WORDS} - start)) + greatest(0, least(size, n_slots * {BLOCK_WORDS} - source_size - start))
-   + greatest(0, least(size, n_slots * {BLOCK_WORDS} - 2 * source_size - start)))::BIGINT AS taken
-FROM streams
+  FROM sized d JOIN cells c ON d.source IS NOT DISTINCT FROM c.source),
+numbered_streams AS (SELECT *, row_number() OVER () AS k FROM streams),
+turns AS (SELECT k, number, start + turn * source_size AS a, start + turn * source_size + size AS b FROM numbered_streams, (SELECT unnest(range({MOST})) AS turn) WHERE size > 0),
+pieces AS (SELECT k, number, a, b, unnest(range((a // {BLOCK_WORDS})::BIGINT, ((b - 1) // {BLOCK_WORDS} + 1)::BIGINT)) AS rank FROM turns),
+taken AS (
+  SELECT k, sum(least(b, (rank + 1) * {BLOCK_WORDS}) - greatest(a, rank * {BLOCK_WORDS}))::BIGINT AS taken, min(slot) AS first_slot, count(*) AS n_slots
+  FROM pieces JOIN slots USING (number, rank) GROUP BY k)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, coalesce(n_slots, 0)::BIGINT AS n_slots
+FROM numbered_streams LEFT JOIN taken USING (k)
 """
