@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, map_rows, materialize
+from .common import alnum_words, identified, map_rows, materialize
 
 #: A block ends once it holds so many bytes of text or so many documents.
 BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 60_000
@@ -53,7 +54,8 @@ def windows_of(items: list[tuple[int | None, bytes | None]], length: int) -> Win
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int = 1) -> DataFrame:
     """Postings (block, term, n, positions: ascending uint32) and one row per block with term null and its documents.
 
-    Positions count words through the block with ``gap`` empty places after each document.
+    docs: file and row, which name a row for good, doc_id, text. Positions count words through the block with ``gap``
+    empty places after each document. Blocks are cut anew by each index: only (file, row) is common to two of them.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)  # bounded by PASS_WORDS
@@ -73,15 +75,15 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int = 1) ->
                 yield block, spelled[t], int(t), len(own), own.tobytes(), None
             yield block, None, None, len(docs_), None, docs_
 
-        for row, doc_id, raw in rows:
+        for number, file, row, doc_id, raw in rows:
             if block is None:
-                block = row
+                block = number
             words = alnum_words(raw)
             found = np.fromiter(map(known, words, repeat(-1)), dtype=np.int32, count=len(words))
             at = np.flatnonzero(found >= 0)
             ids.append(found[at])
             places.append(at + base)
-            docs_.append({"doc_id": doc_id, "n_words": len(words)})
+            docs_.append({"file": file, "row": row, "doc_id": doc_id, "n_words": len(words)})
             base += len(words) + gap
             size += len(raw or b"")
             if size >= BLOCK_BYTES or len(docs_) >= BLOCK_DOCS:
@@ -90,8 +92,8 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int = 1) ->
         if block is not None:
             yield from end()
 
-    picked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    schema = "block long, term string, number int, n long, positions binary, docs array<struct<doc_id:long,n_words:long>>"
+    picked = docs.select(F.monotonically_increasing_id().alias("number"), "file", "row", "doc_id", "text")
+    schema = "block long, term string, number int, n long, positions binary, docs array<struct<file:long,row:long,doc_id:long,n_words:long>>"
     return materialize(map_rows(picked, run, schema, binary=("text",)), "postings")
 
 
@@ -178,31 +180,33 @@ def search_index(index: DataFrame, found: Windows, gap: int = 1, slop: int = 0)
     return index.groupBy("block").applyInPandas(run, "block long, place int, spans array<struct<s:long,e:long>>, items array<long>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int = 0) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int = 0, pass_words: int = PASS_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, spans (words hit), items (ids that occur), n_hit, n_items, items_sha256, contaminated.
 
-    A text that is null or has no word matches nothing. A null item_id still hits words but isn't
-    listed; repeated items count once. Repeated documents give repeated results; other columns are
-    ignored; with an empty test set all documents are clean.
+    A text that is null or has no word matches nothing; very long texts are searched whole, a block of their own.
+    A null item_id still hits words but isn't listed; repeated items count once. Repeated documents give
+    repeated results; other columns are ignored; with an empty test set all documents are clean.
+    ``pass_words`` bounds the words of the test set that one pass over the index looks up.
     """
     texts = benchmark.select("item_id", F.col("text").cast("binary").alias("raw"))
     words = texts.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("n")).first()["n"] // 3
-    passes = int(words // PASS_WORDS) + 1
+    passes = int(words // pass_words) + 1
+    known, (file, row) = identified(docs.select("doc_id", "text"))
+    known = known.select(F.col(file).alias("file"), F.col(row).alias("row"), "doc_id", "text")
     parts = []
-    heads = None
     for k in range(passes):
         own = texts if passes == 1 else texts.where(F.pmod(F.xxhash64("raw"), F.lit(passes)) == k)
         found = windows_of([(r["item_id"], bytes(r["raw"]) if r["raw"] is not None else None) for r in own.toLocalIterator()], length)
-        index = build_index(docs, found.vocabulary, gap=slop + 1)
-        parts.append(search_index(index, found, slop + 1, slop))
-        if heads is None:  # every pass cuts the same blocks
-            heads = index.where("term is null").select("block", F.posexplode("docs").alias("place", "d")).select("block", "place", "d.doc_id", "d.n_words")
-    hits = parts[0]
-    for more in parts[1:]:
-        hits = hits.unionByName(more)
-    if passes > 1:
-        hits = hits.groupBy("block", "place").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    out = heads.join(hits, ["block", "place"], "left")
+        index = build_index(known, found.vocabulary, gap=slop + 1)
+        own = index.where("term is null").select("block", F.posexplode("docs").alias("place", "d")).select("block", "place", "d.file", "d.row", "d.doc_id", "d.n_words")
+        parts.append((own, search_index(index, found, slop + 1, slop)))
+    heads, hits = parts[0]
+    if passes == 1:
+        out = heads.join(hits, ["block", "place"], "left")
+    else:
+        hits = reduce(DataFrame.unionByName, [a.join(b, ["block", "place"]).select("file", "row", "spans", "items") for a, b in parts])
+        hits = hits.groupBy("file", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        out = heads.join(hits, ["file", "row"], "left")
     spans = F.array_sort(F.coalesce("spans", F.array().cast("array<struct<s:long,e:long>>")))
     items = F.array_distinct(F.filter(F.coalesce("items", F.array().cast("array<long>")), lambda x: x.isNotNull()))
     out = out.withColumn("spans", spans).withColumn("items", items)

@@ -132,3 +132,16 @@ def test_schedule_interleaves(spark):
 
 def test_reads_the_whole_table(spark):
     assert Q.queries()["op2_mix_sources"](spark, SF).count() == 200
+
+
+def test_two_passes_find_what_one_does(spark, tmp_path):
+    words = [f"t{k}" for k in range(60)]
+    docs = [(i, " ".join(words[i % 40 : i % 40 + 14] + ["gap"] * (i % 5) + words[:11])) for i in range(120)] + [(500, "w " * 20000 + " ".join(words))]
+    items = [(1, " ".join(words[:20])), (2, " ".join(words[30:])), (3, "gap gap gap")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/d")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for most in (10**6, 20):
+        df = spark.read.parquet(f"{tmp_path}/d")
+        found.append({r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in D.contamination(df, bench, pass_words=most).collect()})
+    assert found[0] == found[1] and sum(x[1] > 0 for x in found[0].values()) == 121 and found[0][500][0] == 20060
