@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import map_rows, materialize, space_words
+from .common import join_hot, map_rows, materialize, space_words
 
 NEAR = 4
 #: Above so many fingerprints a bucket lists points instead of pairs.
@@ -92,18 +92,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp and component_id, the smallest doc_id reachable by links.
 
     Null and empty texts have fingerprint zero and link like any other. Null ids never are the smallest
-    unless all of a component are null, which makes its component_id null. Repeated rows give repeated
+    unless all of a component are null, which makes its component_id null. Texts of any length are read whole. Repeated rows give repeated
     results; other columns are ignored; an empty table gives an empty result.
     """
     own = materialize(fingerprints(docs), "fingerprints")
-    first = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    first = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     stars = connected_components(links(first.select("fp")), materialize)
     member = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
     lowest = member.join(first, "fp").groupBy("root").agg(F.min("first").alias("lowest"))
     of = member.join(lowest, "root").select("fp", "lowest")
-    ids = materialize(first.join(of, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "components")
-    # a fingerprint that a third of all rows share is a skewed key here: adaptive execution splits it
-    return own.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = materialize(first.join(of, "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id")), "components")
+    return join_hot(own, ids, "fp", "n", own.count()).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex():
