@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import join_hot, map_rows, materialize
 
 #: In the order in which kinds are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "key", "jwt", "vendor", "url")
@@ -67,8 +67,9 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     A finding has kind (index into KINDS), start, end, hash of the value, n_owners, n_repositories
     (distinct owner and repository pairs) and ``live``: false where more than ``max_owners`` owners or
     ``max_repositories`` repositories hold the same value. Null owners and repositories count as one
-    value each. Findings are ordered by start, then kind. Null text is empty; extra columns are
-    ignored; repeated rows give repeated results; an empty table gives an empty result.
+    value each. Findings are ordered by start, then kind, then end. Null text is empty; very long texts are scanned
+    whole; extra columns are ignored; repeated rows give repeated results, and a repeated repository counts once;
+    null ids are kept as they are; an empty table gives an empty result.
     """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -89,17 +90,25 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("n"))
     freq = owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
-    # a value that a third of all rows share is a skewed key here: adaptive execution splits it
-    known = each.select("row", "f", F.col("f.hash").alias("hash")).join(freq.withColumn("live", live), "hash")
+    of = each.select("row", "f", F.col("f.hash").alias("hash"))
+    freq = freq.join(of.groupBy("hash").agg(F.count("*").alias("n_rows")), "hash").withColumn("live", live)
+    total = scan.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
+    known = join_hot(of, materialize(freq, "owners"), "hash", "n_rows", total)
     finding = F.struct(*[F.col(f"f.{x}").alias(x) for x in ("start", "kind", "end", "hash")], "n_owners", "n_repositories", "live")
     by_row = known.groupBy("row").agg(F.array_sort(F.collect_list(finding)).alias("findings"))
     return scan.drop("found", "owner", "repo").join(by_row, "row", "left").drop("row")
 
 
 def secret_digest(scanned: DataFrame) -> DataFrame:
-    """The contract's columns: base spans stay, live-looking additions join them."""
+    """The contract's columns: base spans stay, live-looking additions join them; and what the method says of all findings.
+
+    n_live, n_examples: findings of any kind that look live or are widely copied; live_spans: the former's spans.
+    """
     kinds = F.array(*map(F.lit, KINDS))
-    keep = F.filter("findings", lambda x: (x["kind"] < BASE) | x["live"])
-    text = F.transform(keep, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string")))
-    spans = F.coalesce(F.concat_ws(",", text), F.lit(""))
-    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"))
+    shown = lambda xs: F.coalesce(F.concat_ws(",", F.transform(xs, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string")))), F.lit(""))
+    size = lambda xs: F.coalesce(F.size(xs), F.lit(0)).cast("long")
+    some = F.coalesce("findings", F.array().cast(scanned.schema["findings"].dataType))
+    live = F.filter(some, lambda x: x["live"])
+    spans = shown(F.filter(some, lambda x: (x["kind"] < BASE) | x["live"]))
+    counts = (size(live).alias("n_live"), size(F.filter(some, lambda x: ~x["live"])).alias("n_examples"))
+    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), *counts, shown(live).alias("live_spans"))
