@@ -216,3 +216,78 @@ def test_rules_act_at_the_production_risk(spark):
     out = R.quality_rules(*labelled(spark, rows)).collect()
     got = {r["doc_id"]: r["kept"] for r in out}
     assert sum(got[i] for i in range(1400)) >= 0.98 * 1400 and not got[2000] and not any(r["base_failed"] for r in out)
+
+
+def test_odd_markup_loses_no_text():
+    a, b, c = ("A first sentence, with words enough. " * 6).strip(), ("Then it's the second one; more words. " * 6).strip(), ("A third, at the end. " * 6).strip()
+    assert H.extract(f"<article><p title=it's>{a}</p><p>{b}</p></article>") == f"{a}\n\n{b}"
+    assert H.extract(f'<article><p class="x>{a}</p><p class="y">{b}</p></article>') == f"{a}\n\n{b}"
+    assert H.extract(f'<article><p class="x>{a}</p></article>') == a
+    assert H.extract(f'<body><div class="legal-analysis"><p>{a}</p><p>{b}</p></div></body>') == f"{a}\n\n{b}"
+    assert H.extract(f'<body><div id="sponsored"><p>{a}</p><p>{b}</p></div><div class="ad">Buy it.</div></body>') == f"{a}\n\n{b}"
+    assert H.extract(f'<article><p>{a}</p><p data-id="sidebar" title="class=ad">{b}</p><p>{c}</p><div class="ad-box">Buy cheap things, now.</div></article>') == f"{a}\n\n{b}\n\n{c}"
+    assert H.extract(f"<p a='<b>' b=\"1\"c=2 d>{a}</p>") == a
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    for page in ("<div>x " * 20_000, "<b>x" * 20_000 + "<p>y" * 20_000, "<article>" + "<p>Some words, here.</p></i>" * 40_000, '<p a="' * 20_000, "<p a='b\"=" * 20_000):
+        began = time.time()
+        H.extract(page)
+        assert time.time() - began < 8
+
+
+def test_ratios_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = [("word, " * rng.randint(1, 30)).strip() for _ in range(rng.randint(1, 25))]
+        tags = [rng.choice(["p", "div", "li", "h2"]) for _ in texts]
+        found, paths = H.blocks("<main>" + "".join(f"<{t} class=c{k % 3}>{x}</{t}>" for k, (t, x) in enumerate(zip(tags, texts))) + "</main>")
+        assert [b.text for b in found] == texts
+        ratio, level, count = H.ratios(found, len(paths.parent))
+        name = [(t, k % 3) for k, t in enumerate(tags)]
+        want = {n: sum(len(x) for x, m in zip(texts, name) if m == n) / name.count(n) * (1 + sum(x.count(",") for x, m in zip(texts, name) if m == n) / name.count(n)) for n in set(name)}
+        for b, n in zip(found, name):
+            assert abs(ratio[b.path] - want[n]) < 1e-6 and count[b.path] == name.count(n)
+            near = [[(3 - abs(d)) * want[name[k + d]] for d in range(-2, 3) if 0 <= k + d < len(name)] for k, m in enumerate(name) if m == n]
+            weights = [[3 - abs(d) for d in range(-2, 3) if 0 <= k + d < len(name)] for k, m in enumerate(name) if m == n]
+            assert abs(level[b.path] - sum(sum(x) / sum(w) for x, w in zip(near, weights)) / name.count(n)) < 1e-6
+
+
+def test_pages_of_odd_rows(spark):
+    rows = [(1, "u", None, 5), (None, None, "<article><p>Some words, here.</p></article>", 6), (None, None, "<article><p>Some words, here.</p></article>", 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    assert sorted((r["text"], r["n_chars"]) for r in H.extract_pages(df).collect()) == [("", 0), ("Some words, here.", 17), ("Some words, here.", 17)]
+    assert H.extract_pages(df.limit(0)).count() == 0
+
+
+def test_license_of_odd_rows(spark):
+    text = "Released into the public\ndomain. " + "x " * 50_000 + "cc by " * 5_000
+    rows = [(None, text, "a"), (None, text, "a"), (1, None, "b"), (2, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, labels string")
+    got = sorted((r["doc_id"] or 0, r["n_base"], r["first_word"], r["last_word"], r["labels"]) for r in L.scan_licenses(df).collect())
+    assert got == [(0, 5000, 50005, 60003, "cc-by,public-domain")] * 2 + [(1, 0, None, None, ""), (2, 0, None, None, "")]
+    assert L.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_suppression_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        made = {}
+        for _ in range(rng.randint(0, 12)):
+            a = rng.randint(0, 12)
+            d = L.Detection(a, a + rng.randint(1, 8), rng.choice("xyz"), rng.choice([5, 10, 40]), 0.5)
+            made[d[:3]] = d
+        found = list(made.values())
+        order = lambda d: (d.priority, d.label)
+        covers = lambda k, d: k.start <= d.start and d.end <= k.end and k.priority <= d.priority and (k[:2] != d[:2] or order(k) < order(d))
+        assert L.suppress(found) == sorted(d for d in found if not any(covers(k, d) for k in found if k is not d))
+
+
+def test_secret_ownership_shows(spark):
+    shared, own = "ghp_" + "wx" * 18, "ghp_" + "yz" * 18
+    rows = [(i, f"key {shared}", f"s{i % 5}") for i in range(30)] + [(100, f"key {own} and {shared}", "s1"), (None, None, None)]
+    got = {r["doc_id"]: r for r in S.secret_digest(S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert (got[100]["n_live"], got[100]["n_examples"], got[100]["spans"], got[100]["live_spans"]) == (1, 1, "vendor:4:44", "vendor:4:44")
+    assert got[0]["spans"] == "" and got[0]["n_examples"] == 1 and got[None]["n_live"] == 0
