@@ -14,7 +14,7 @@ from pagewright.llm.simhash import near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier scores at 0.5 or more. Null text counts as empty."""
+    """Documents that the compression classifier scores at 0.5 or more. Null text counts as empty; repeated rows are judged alike; an empty table stays empty."""
     shared = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
 
     def make():
@@ -28,13 +28,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that near-repeat an earlier one; n_chars follows the text.
 
-    A document that lost lines goes if no line of at least SHORTEST words is left of it.
+    A document that lost lines goes if no line of at least SHORTEST words is left of it. Repeated rows lose what
+    their first copy holds; an empty table stays empty.
     """
     out = dedup_lines(docs)
+    dropped = F.col(out.columns[-1])
     left = F.exists(F.split(F.col("text"), "\n", -1), lambda line: F.size(F.split(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")), " ")) >= SHORTEST)
-    out = out.where((F.col("__n_dropped") == 0) | left)
+    out = out.where((dropped == 0) | left)
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("__n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        changed = F.when(dropped > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
@@ -60,7 +62,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target and taken words of every document of the mixture."""
+    """doc_id, size, source_size, target and taken words, first slot and number of slots of every document of the mixture; repeated rows are documents of their own, an empty table gives none."""
     return mixture(docs)[1]
 
 
