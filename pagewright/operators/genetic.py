@@ -8,29 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .knn import BROADCAST_ROWS
+from .blocks import nearest_rows
+from .knn import majority
 
 
 def fitness(train: DataFrame, population: np.ndarray, k: int = 1) -> np.ndarray:
-    """Leave-one-out accuracy of each candidate's weights (city block). Pairs' coordinate differences are computed once for all candidates."""
-    from pyspark.sql import Window
-
-    n = train.count()
-    a = train.select(F.col("id").alias("q"), F.col("class").alias("truth"), F.col("features").cast("array<double>").alias("a"))
-    b = train.select(F.col("id").alias("t"), "class", F.col("features").cast("array<double>").alias("b"))
-    pairs = a.join(F.broadcast(b) if n <= BROADCAST_ROWS else b, F.col("q") != F.col("t")).select("q", "truth", "t", "class", F.zip_with("a", "b", lambda x, y: F.abs(x - y)).alias("diff"))
-    spark = train.sparkSession
-    cands = spark.createDataFrame([(i, [float(x) for x in w]) for i, w in enumerate(population)], "candidate int, w array<double>")
-    d = F.aggregate(F.zip_with("diff", "w", lambda x, w: x * w), F.lit(0.0), lambda acc, x: acc + x)
-    scored = pairs.join(F.broadcast(cands), F.lit(True)).select("candidate", "q", "truth", "class", "t", d.alias("d"))  # a population is small
-    if k == 1:
-        best = scored.groupBy("candidate", "q", "truth").agg(F.min_by("class", F.struct("d", "t")).alias("class"))
-    else:
-        w = Window.partitionBy("candidate", "q").orderBy("d", "t")
-        near = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-        votes = near.groupBy("candidate", "q", "truth", "class").agg(F.count("*").alias("n"), F.sum("d").alias("s"))
-        best = votes.groupBy("candidate", "q", "truth").agg(F.max_by("class", F.struct("n", -F.col("s"))).alias("class"))
-    got = {r["candidate"]: r["f"] for r in best.groupBy("candidate").agg(F.avg((F.col("class") == F.col("truth")).cast("double")).alias("f")).collect()}
+    """Leave-one-out accuracy of each candidate's weights (city block), all in one job."""
+    near = nearest_rows(train.select("id", "features"), train, k, "city_block", True, [[float(x) for x in w] for w in population])
+    found = majority(near, "candidate").join(train.select(F.col("id").cast("long").alias("q"), F.col("class").alias("truth")), "q")
+    got = {r["candidate"]: r["f"] for r in found.groupBy("candidate").agg(F.avg((F.col("class") == F.col("truth")).cast("double")).alias("f")).collect()}
     return np.array([got.get(i, 0.0) for i in range(len(population))])
 
 

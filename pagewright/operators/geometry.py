@@ -9,27 +9,18 @@ from pyspark.sql import functions as F
 
 from ..sources.raster import by_image, from_image
 from . import kernels
+from .blocks import nearest_rows
 
 
 def k_nearest_points(query: DataFrame, points: DataFrame, k: int, kind: int = 2, weights: list[float] | None = None, where: Column | None = None) -> DataFrame:
     """(q, t, d, rank): nearest points by L-infinity (0), L1 (1) or squared L2 (2), each coordinate times its weight; only points that meet ``where``.
 
-    query(id, p), points(id, p) with p an array of doubles. The query set is broadcast while small.
+    query(id, p), points(id, p) with p an array of doubles; ties go to the smaller id.
     """
-    from pyspark.sql import Window
-
-    from .knn import BROADCAST_ROWS
-
-    q = query.select(F.col("id").alias("q"), F.col("p").alias("a"))
-    t = (points if where is None else points.where(where)).select(F.col("id").alias("t"), F.col("p").alias("b"))
-    parts = F.zip_with("a", "b", lambda x, y: F.abs(x - y) if kind < 2 else (x - y) * (x - y))
-    if weights:
-        parts = F.zip_with(parts, F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w)
-    d = F.array_max(parts) if kind == 0 else F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
-    small = query.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pairs = t.join(F.broadcast(q) if small else q, F.lit(True)).select("q", "t", d.alias("d"))  # a stated query set against all rows
-    w = Window.partitionBy("q").orderBy("d", "t")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    own = query.select("id", F.col("p").alias("features"))
+    others = (points if where is None else points.where(where)).select("id", F.lit("").alias("class"), F.col("p").alias("features"))
+    names = ("chebyshev", "city_block", "fast_euclidean")
+    return nearest_rows(own, others, k, names[kind], False, [list(map(float, weights))] if weights else None).select("q", "t", "d", "rank")
 
 
 def convex_hulls(points: DataFrame) -> DataFrame:

@@ -8,9 +8,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def connected_components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame], a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+#: Edges up to which a graph is handled in one task.
+SMALL = 200_000
+
+
+def in_one_task(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """Applies ``run`` to all rows at once, for relations whose size has been checked."""
+    return df.coalesce(1).groupBy().applyInPandas(run, schema)
+
+
+def united(pairs: list[tuple]) -> dict:
+    """The smallest node of each node's component; pairs (a, b)."""
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent}
+
+
+def connected_components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame], a: str = "a", b: str = "b", most_rounds: int = 60, small: int = 0) -> DataFrame:
     """(node, root) for every node of an edge but the roots; root is the component's smallest node.
 
+    At most ``small`` edges are handled in one task; more by rounds.
     Alternates large-star and small-star steps until the edges are stars; the rounds grow with the
     logarithm of the longest path. ``keep`` makes a round's edges durable and cuts their lineage.
     """
@@ -117,7 +144,7 @@ def nsubgraphs(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame, st
 
 def subgraph_roots(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(id, root): the smallest node of each weak component."""
-    stars = connected_components(edges, keep, "src", "dst").withColumnRenamed("node", "id")
+    stars = connected_components(edges, keep, "src", "dst", small=SMALL).withColumnRenamed("node", "id")
     return nodes.join(stars, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
@@ -186,12 +213,35 @@ def spanning_tree(edges: DataFrame, root, keep: Callable[[DataFrame, str], DataF
     return level.join(up, "id", "left").where("depth = 0 or d = depth - 1").groupBy("id", "depth").agg(F.min(F.when(F.col("depth") > 0, F.col("parent"))).alias("parent")).select("id", "parent", "depth")
 
 
-def minimum_spanning_tree(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def minimum_spanning_tree(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame], small: int = SMALL) -> DataFrame:
     """(src, dst, cost) of the minimum spanning forest of an undirected graph, by rounds of joining each component over its cheapest edge.
 
-    Equal costs are told apart by the ends, so the result doesn't depend on the partitioning.
+    Equal costs are told apart by the ends, so the result doesn't depend on the partitioning. At most ``small`` edges
+    are handled in one task.
     """
     e = keep(make_undirected(make_not_self_connected(edges.select("src", "dst", "cost", F.lit("").alias("label")))).select("src", "dst", "cost"), "edges")
+    if e.limit(small + 1).count() <= small:
+        import pandas as pd
+
+        def kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
+            parent: dict = {}
+
+            def find(x):
+                while parent.setdefault(x, x) != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            pdf = pdf.sort_values(["cost", "src", "dst"], ignore_index=True)
+            taken = []
+            for i, (p, q) in enumerate(zip(pdf["src"], pdf["dst"], strict=True)):
+                p, q = find(p), find(q)
+                if p != q:
+                    parent[p] = q
+                    taken.append(i)
+            return pdf.loc[taken]
+
+        return in_one_task(e, kruskal, e.schema)
     of = keep(nodes_of(e).select("id", F.col("id").alias("part")), "parts")
     tree = None
     while True:

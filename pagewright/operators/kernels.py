@@ -754,3 +754,39 @@ def delaunay(points: list[tuple[float, float]]) -> list[tuple[int, int]]:
             if ok and low < high - 1e-9:
                 out.append((i, j))
     return out
+
+
+def components(a: np.ndarray) -> np.ndarray:
+    """8-connected components of the pixels above 0, labelled by the place of their first pixel (row * columns + column) plus 2."""
+    rows, cols = a.shape
+    padded = np.zeros((rows, cols + 2), dtype=np.int8)
+    padded[:, 1:-1] = a > 0
+    change = np.diff(padded, axis=1)
+    y, start = np.nonzero(change == 1)
+    end = np.nonzero(change == -1)[1] - 1
+    n = len(y)
+    out = np.zeros((rows, cols), dtype=np.int64)
+    if not n:
+        return out
+    wide = cols + 3
+    # runs of the row above that touch: those that end at start - 1 or later and start at end + 1 or earlier
+    low = np.searchsorted(y * wide + end + 1, (y - 1) * wide + start, side="left")
+    high = np.searchsorted(y * wide + start, (y - 1) * wide + end + 1, side="right")
+    many = np.maximum(high - low, 0)
+    p = np.repeat(np.arange(n), many)
+    q = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    root = np.arange(n)
+    while True:  # every run takes the smallest root it meets, then the root's root
+        new = root.copy()
+        least = np.minimum(root[p], root[q])
+        np.minimum.at(new, root[p], least)
+        np.minimum.at(new, root[q], least)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    label = y[root].astype(np.int64) * cols + start[root] + 2
+    length = end - start + 1
+    out[np.repeat(y, length), np.repeat(start, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)] = np.repeat(label, length)
+    return out

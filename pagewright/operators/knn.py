@@ -1,8 +1,8 @@
 """Nearest neighbours over feature vectors.
 
-Training data is ``train(id, class, features)``, queries are ``query(id, features)``. The training set is
-broadcast only while it has at most BROADCAST_ROWS rows; beyond that it goes in blocks: queries meet each
-block, keep their k best, and the k best of all blocks are merged, so no task holds all pairs.
+Training data is ``train(id, class, features)``, queries are ``query(id, features)``. Both go in blocks
+(``blocks``): queries meet each block, keep their k best, and the k best of all blocks are merged, so no task
+holds all pairs.
 Distances: "city_block", "euclidean" (sums the roots of squares by coordinate, so it equals city block),
 "fast_euclidean" (squares, no root), and "l2".
 """
@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import distances, nearest_rows
+
 BROADCAST_ROWS = 20_000
-BLOCKS = 64
 
 
 def distance(a: Column, b: Column, kind: str = "city_block", weights: list[float] | None = None, selections: list[int] | None = None) -> Column:
@@ -46,28 +47,23 @@ def normalize(df: DataFrame, by: DataFrame) -> DataFrame:
     return df.withColumn("features", F.zip_with(F.zip_with("features", means, lambda a, m: a - m), sds, lambda a, s: a / s))
 
 
+def weights_of(weights: list[float] | None, selections: list[int] | None) -> list[list[float]] | None:
+    """One candidate's weights; a feature that isn't selected has none."""
+    if not weights and not selections:
+        return None
+    n = len(weights or selections)
+    return [[float((weights or [1] * n)[i] * (selections or [1] * n)[i]) for i in range(n)]]
+
+
 def nearest(query: DataFrame, train: DataFrame, k: int, kind: str = "city_block", skip_self: bool = False, weights: list[float] | None = None, selections: list[int] | None = None) -> DataFrame:
     """(q, t, class, d, rank): the k nearest training rows of each query; of equally near ones the smaller id."""
-    q = query.select(F.col("id").alias("q"), F.col("features").cast("array<double>").alias("qf"))
-    t = train.select(F.col("id").alias("t"), "class", F.col("features").cast("array<double>").alias("tf"))
-    other = F.col("q") != F.col("t") if skip_self else F.lit(True)
-    d = distance(F.col("qf"), F.col("tf"), kind, weights, selections).alias("d")
-    best = Window.partitionBy("q").orderBy("d", "t")
-    if train.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pairs = q.join(F.broadcast(t), other).select("q", "t", "class", d)
-    else:
-        # each query visits every block once; a block's rows are met by an equi-join on its number
-        blocks = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-        pairs = blocks.join(t.withColumn("block", F.pmod(F.xxhash64("t"), F.lit(BLOCKS)).cast("int")), "block").where(other).select("q", "t", "class", "block", d)
-        part = Window.partitionBy("q", "block").orderBy("d", "t")
-        pairs = pairs.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("rank", "block")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return nearest_rows(query, train, k, kind, skip_self, weights_of(weights, selections)).drop("candidate")
 
 
-def majority(near: DataFrame) -> DataFrame:
+def majority(near: DataFrame, *more: str) -> DataFrame:
     """(q, class, n, total): the most frequent class; ties go to the smaller total distance, then name."""
-    votes = near.groupBy("q", "class").agg(F.count("*").alias("n"), F.sum("d").alias("total"))
-    best = Window.partitionBy("q").orderBy(F.desc("n"), F.round("total", 9), "class")
+    votes = near.groupBy(*more, "q", "class").agg(F.count("*").alias("n"), F.sum("d").alias("total"))
+    best = Window.partitionBy(*more, "q").orderBy(F.desc("n"), F.round("total", 9), "class")
     return votes.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
@@ -179,24 +175,54 @@ def edit_mnn(train: DataFrame, k: int = 3, kind: str = "city_block", protect: in
     return train.join(wrong.join(safe, "id", "left_anti"), "id", "left_anti")
 
 
-def edit_cnn(train: DataFrame, k: int = 1, kind: str = "city_block", most_rounds: int = 50) -> DataFrame:
-    """Condensing in rounds: the store starts with the first row; each round adds all rows it misclassifies."""
-    store = train.orderBy("id").limit(1)
-    ids = [r["id"] for r in store.select("id").collect()]
-    for _ in range(most_rounds):
-        store = train.where(F.col("id").isin(ids))
-        bag = train.where(~F.col("id").isin(ids))
+def edit_cnn(train: DataFrame, k: int = 1, kind: str = "city_block", keep=None) -> DataFrame:
+    """Condensing until nothing changes: the store starts with the first row; each round adds, of each class, the first row it misclassifies.
+
+    At most BROADCAST_ROWS rows are condensed in one task; more in rounds on relations, each written by ``keep``.
+    """
+    import numpy as np
+    import pandas as pd
+
+    if train.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+
+        def condense(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id", ignore_index=True)
+            m = np.array(pdf["features"].tolist(), dtype=np.float64)
+            names, ones = pdf["class"].tolist(), np.ones(m.shape[1])
+            store, d = [0], [distances(m, m[:1], kind, ones)[:, 0]]
+            while True:
+                inside, first = set(store), {}
+                near = np.stack(d, axis=1)
+                order = np.lexsort((np.broadcast_to(np.array(store), near.shape), near), axis=1)[:, :k]
+                for i, best in enumerate(order):
+                    if i not in inside and names[i] not in first:
+                        votes: dict = {}
+                        for j in best:
+                            n, total = votes.get(names[store[j]], (0, 0.0))
+                            votes[names[store[j]]] = (n + 1, total + near[i, j])
+                        if min(votes, key=lambda c: (-votes[c][0], round(votes[c][1], 9), c)) != names[i]:
+                            first[names[i]] = i
+                if not first:
+                    return pdf.loc[sorted(store)]
+                for i in first.values():
+                    store.append(i)
+                    d.append(distances(m, m[i : i + 1], kind, ones)[:, 0])
+
+        own = train.select(F.col("id").cast("long").alias("id"), F.col("class").cast("string").alias("class"), F.col("features").cast("array<double>").alias("features"))
+        return own.groupBy().applyInPandas(condense, own.schema)  # bounded by the check above
+    store = keep(train.orderBy("id").limit(1), "store")
+    while True:
+        bag = train.join(store.select("id"), "id", "left_anti")
         wrong = classify(bag.select("id", "features"), store, k, kind).join(bag.select(F.col("id").alias("q"), F.col("class").alias("truth")), "q").where("class <> truth")
         # of each class only the first misclassified row moves, which keeps the store small
-        new = [r["id"] for r in wrong.groupBy("truth").agg(F.min("q").alias("id")).collect()]
-        if not new:
-            break
-        ids += new
-    return store
+        new = keep(train.join(wrong.groupBy("truth").agg(F.min("q").alias("id")).select("id"), "id", "left_semi"), "moved")
+        if new.isEmpty():
+            return store
+        store = keep(store.unionByName(new), "store")
 
 
-def edit_mnn_cnn(train: DataFrame, k: int = 3, kind: str = "city_block") -> DataFrame:
-    return edit_cnn(edit_mnn(train, k, kind), 1, kind)
+def edit_mnn_cnn(train: DataFrame, k: int = 3, kind: str = "city_block", keep=None) -> DataFrame:
+    return edit_cnn(edit_mnn(train, k, kind), 1, kind, keep)
 
 
 def feature_subsets(n: int, size: int) -> list[list[int]]:
@@ -206,14 +232,13 @@ def feature_subsets(n: int, size: int) -> list[list[int]]:
 
 
 def simple_feature_selector(train: DataFrame, sizes: list[int], n: int, k: int = 1, kind: str = "city_block") -> DataFrame:
-    """(mask, correct, total) of each subset of the features of the given sizes."""
-    spark = train.sparkSession
-    rows = []
-    for size in sizes:
-        for mask in feature_subsets(n, size):
-            r = accuracy(train, k, kind, selections=mask).first()
-            rows.append(("".join(map(str, mask)), r["correct"], r["total"]))
-    return spark.createDataFrame(rows, "mask string, correct long, total long")
+    """(mask, correct, total) of each subset of the features of the given sizes, by leave-one-out; all subsets are scored in one job."""
+    masks = [mask for size in sizes for mask in feature_subsets(n, size)]
+    near = nearest_rows(train.select("id", "features"), train, k, kind, True, [[float(x) for x in mask] for mask in masks])
+    found = majority(near, "candidate").join(train.select(F.col("id").cast("long").alias("q"), F.col("class").alias("truth")), "q")
+    scored = found.groupBy("candidate").agg(F.sum((F.col("class") == F.col("truth")).cast("long")).alias("correct"), F.count("*").alias("total"))
+    names = train.sparkSession.createDataFrame([(i, "".join(map(str, mask))) for i, mask in enumerate(masks)], "candidate int, mask string")
+    return scored.join(names, "candidate").select("mask", "correct", "total")
 
 
 # --- saving and settings ---------------------------------------------------------------------------

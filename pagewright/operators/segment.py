@@ -7,17 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.raster import from_image, sizes
+from ..sources.raster import by_image, from_image, sizes
 from .features import runs
-from .graph import connected_components
+from .graph import SMALL, connected_components
 
 BOX = ("ulx", "uly", "lrx", "lry")
 
 
-def cc_analysis(px: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+#: Pixels up to which an image is labelled in one task.
+LARGEST = 1 << 26
+
+
+def cc_analysis(px: DataFrame, keep: Callable[[DataFrame, str], DataFrame], largest: int = LARGEST) -> DataFrame:
     """(image_id, y, x, v): 8-connected components, labelled by the place (y * columns + x) + 2 of their first pixel; white is 0.
 
-    Runs, not pixels, are the nodes: runs of neighbouring rows touch if they overlap by at most one column
+    Components never leave an image, so each image is labelled by one vectorised pass over its runs; images of more
+    than ``largest`` pixels by ``cc_of_large``.
+    """
+    from . import kernels
+
+    label = lambda some: by_image(some, kernels.components, "long")
+    big = keep(sizes(px).where(F.col("nrows").cast("long") * F.col("ncols") > largest).select("image_id"), "large")
+    if big.isEmpty():
+        return label(px)
+    return label(px.join(big, "image_id", "left_anti")).unionByName(cc_of_large(px.join(big, "image_id", "left_semi"), keep).withColumn("v", F.col("v").cast("long")))
+
+
+def cc_of_large(px: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``cc_analysis`` without an image in one task. Runs, not pixels, are the nodes: runs of neighbouring rows touch if they overlap by at most one column
     of slack. A row has few runs, so the join on (image, row) stays small.
     """
     r = runs(px).where("black").join(sizes(px), "image_id").select("image_id", F.col("line").alias("y"), "start", "end", (F.col("line").cast("long") * F.col("ncols") + F.col("start")).alias("place"))
@@ -25,7 +42,7 @@ def cc_analysis(px: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> D
     a = r.select("image_id", "y", "start", "end", node.alias("a"))
     b = r.select("image_id", (F.col("y") - 1).alias("y"), F.col("start").alias("s2"), F.col("end").alias("e2"), node.alias("b"))
     edges = a.join(b, ["image_id", "y"]).where("start <= e2 + 1 and s2 <= end + 1").select("a", "b")
-    stars = connected_components(edges, keep)
+    stars = connected_components(edges, keep, small=SMALL)
     own = r.select("image_id", "y", "start", "end", node.alias("node")).join(stars, "node", "left").select("image_id", "y", "start", "end", F.coalesce("root", "node").alias("root"))
     cells = own.select("image_id", "y", F.explode(F.sequence("start", "end")).alias("x"), (F.col("root.place") + 2).alias("v"))
     return px.select("image_id", "y", "x").join(cells, ["image_id", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
@@ -147,7 +164,7 @@ def bbox_merging(ccs: DataFrame, ex: int, ey: int, keep: Callable[[DataFrame, st
         grown = now.withColumns({"ulx": F.greatest(F.col("ulx") - ex, F.lit(0)), "uly": F.greatest(F.col("uly") - ey, F.lit(0)), "lrx": F.col("lrx") + ex, "lry": F.col("lry") + ey})
         pairs = rect_join(grown, grown, (F.col("a_id") < F.col("b_id")) & intersects())
         node = lambda c: F.struct("image_id", F.col(c).alias("id"))
-        stars = connected_components(pairs.select(node("a_id").alias("a"), node("b_id").alias("b")), keep)
+        stars = connected_components(pairs.select(node("a_id").alias("a"), node("b_id").alias("b")), keep, small=SMALL)
         member = now.withColumn("node", F.struct("image_id", "id")).join(stars, "node", "left").withColumn("id", F.coalesce("root.id", "id"))
         now = keep(union_rects(member, "image_id", "id"), "boxes")
     return now
@@ -166,7 +183,7 @@ def segmentation_error(truth: DataFrame, found: DataFrame, keep: Callable[[DataF
     both = truth.withColumnRenamed("v", "g").join(found.withColumnRenamed("v", "s"), ["image_id", "y", "x"])
     hits = both.where("g > 0 and s > 0").select("image_id", "g", "s").distinct()
     node = lambda side, c: F.struct("image_id", F.lit(side).alias("side"), F.col(c).cast("long").alias("label"))
-    stars = connected_components(hits.select(node(0, "g").alias("a"), node(1, "s").alias("b")), keep)
+    stars = connected_components(hits.select(node(0, "g").alias("a"), node(1, "s").alias("b")), keep, small=SMALL)
     nodes = both.where("g > 0").select(node(0, "g").alias("node")).unionByName(both.where("s > 0").select(node(1, "s").alias("node"))).distinct()
     of = nodes.join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     n = of.groupBy("root").agg(F.sum((F.col("node.side") == 0).cast("int")).alias("g"), F.sum((F.col("node.side") == 1).cast("int")).alias("s"))
@@ -236,7 +253,7 @@ def kise_block_extraction(ccs: DataFrame, keep: Callable[[DataFrame, str], DataF
     t = both.groupBy("image_id", "id").agg(F.min("d").alias("d")).groupBy("image_id").agg(F.greatest(F.expr("percentile(d, 0.5)"), F.lit(1.0)).alias("t"))
     kept = e.join(t, "image_id").where((F.col("d") <= F.col("t")) | (fr * F.col("d") / F.col("t") + F.col("ratio") / ta <= 1))
     node = lambda c: F.struct("image_id", F.col(c).alias("id"))
-    stars = connected_components(kept.select(node("a_id").alias("a"), node("b_id").alias("b")), keep)
+    stars = connected_components(kept.select(node("a_id").alias("a"), node("b_id").alias("b")), keep, small=SMALL)
     own = ccs.select("image_id", "id").withColumn("node", F.struct("image_id", "id"))
     return own.join(stars, "node", "left").select("image_id", "id", F.coalesce("root.id", "id").alias("root"))
 

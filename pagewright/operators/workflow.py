@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import build_id_regex
 from . import knn, segment
-from .graph import connected_components, minimum_spanning_tree, optimize_partitions
+from .graph import SMALL, connected_components, minimum_spanning_tree, optimize_partitions
 
 Keep = Callable[[DataFrame, str], DataFrame]
 
@@ -45,7 +45,7 @@ def pregroup(glyphs: DataFrame, threshold: int, keep: Keep) -> DataFrame:
 
     pairs = segment.rect_join(glyphs, glyphs, (F.col("a_id") < F.col("b_id")) & bounding_box_grouping(threshold), pad=threshold + 2)
     node = lambda c: F.struct("image_id", F.col(c).alias("id"))
-    stars = connected_components(pairs.select(node("a_id").alias("a"), node("b_id").alias("b")), keep)
+    stars = connected_components(pairs.select(node("a_id").alias("a"), node("b_id").alias("b")), keep, small=SMALL)
     own = glyphs.select("image_id", "id").withColumn("node", F.struct("image_id", "id"))
     return own.join(stars, "node", "left").select("image_id", "id", F.coalesce("root.id", "id").alias("root"))
 
@@ -84,7 +84,7 @@ def cluster(images: DataFrame, keep: Keep, ratio: float = 1.0, within: str | Non
     around = near.join(other, "id").where("not (src = s2 and dst = d2)").groupBy("src", "dst", "cost").agg(F.avg("c2").alias("m"), F.count("*").alias("n"))
     cut = around.where((F.col("n") > 1) & (F.abs(F.col("m") - F.col("cost")) / 2 > ratio)).select("src", "dst")
     kept = tree.join(cut, ["src", "dst"], "left_anti")
-    stars = connected_components(kept, keep, "src", "dst").withColumnRenamed("node", "id")
+    stars = connected_components(kept, keep, "src", "dst", small=SMALL).withColumnRenamed("node", "id")
     return images.select("id").join(stars, "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
 
 
@@ -145,7 +145,7 @@ def find_sections(glyphs: DataFrame, keep: Keep) -> DataFrame:
     grown = glyphs.join(mean, "image_id").select("image_id", "id", (F.col("ulx") - F.col("ex")).alias("ulx"), (F.col("uly") - F.col("ey")).alias("uly"), (F.col("lrx") + F.col("ex")).alias("lrx"), (F.col("lry") + F.col("ey")).alias("lry"))
     pairs = segment.rect_join(grown, grown, (F.col("a_id") < F.col("b_id")) & segment.intersects())
     node = lambda c: F.struct("image_id", F.col(c).alias("id"))
-    stars = connected_components(pairs.select(node("a_id").alias("a"), node("b_id").alias("b")), keep)
+    stars = connected_components(pairs.select(node("a_id").alias("a"), node("b_id").alias("b")), keep, small=SMALL)
     own = glyphs.select("image_id", "id").withColumn("node", F.struct("image_id", "id"))
     return own.join(stars, "node", "left").select("image_id", "id", F.coalesce("root.id", "id").alias("section"))
 

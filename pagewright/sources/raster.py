@@ -91,7 +91,7 @@ def by_image(px: DataFrame, kernel, kind: str = "int", fill=0) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pixels_of(int(pdf["image_id"].iloc[0]), np.asarray(kernel(grid_of(pdf, fill))))
-        return out.astype({"v": {"int": "int32", "double": "float64"}[kind]})
+        return out.astype({"v": {"int": "int32", "long": "int64", "double": "float64"}[kind]})
 
     return px.groupBy("image_id").applyInPandas(run, f"image_id long, y int, x int, v {kind}")
 

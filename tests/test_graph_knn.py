@@ -6,7 +6,7 @@ from helpers import image  # noqa: F401
 from pagewright.functions import lists as L
 from pagewright.operators import geometry as G
 from pagewright.operators import graph as H
-from pagewright.operators import knn, stats, workflow
+from pagewright.operators import blocks, kernels, knn, segment, stats, workflow
 from pagewright.plans.scratch import keep
 
 
@@ -85,11 +85,39 @@ def train(spark, n=60, d=4):
 def test_blocks_find_what_broadcast_finds(spark, monkeypatch):
     t = train(spark)
     want = knn.nearest(t, t, 3, skip_self=True).select("q", "t", "rank").collect()
-    monkeypatch.setattr(knn, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 10)
     got = knn.nearest(t, t, 3, skip_self=True).select("q", "t", "rank").collect()
     assert sorted(got) == sorted(want)
 
 
+def test_small_graphs_and_stores_are_as_large_ones(spark, monkeypatch):
+    t = train(spark)
+    want = sorted(r["id"] for r in knn.edit_cnn(t).collect())
+    monkeypatch.setattr(knn, "BROADCAST_ROWS", 10)
+    assert sorted(r["id"] for r in knn.edit_cnn(t, keep=keep).collect()) == want
+    rng = np.random.default_rng(3)
+    e = spark.createDataFrame([(int(a), int(b), float(rng.integers(1, 9)), "") for a, b in rng.integers(0, 60, (70, 2))], "src long, dst long, cost double, label string")
+    many = [sorted(map(tuple, H.minimum_spanning_tree(e, keep, small=n).collect())) for n in (0, 1000)]
+    assert many[0] == many[1]
+    roots = [sorted(map(tuple, H.connected_components(e, keep, "src", "dst", small=n).collect())) for n in (0, 1000)]
+    assert roots[0] == roots[1]
+
+
+def test_components_of_an_image_in_one_pass(spark):
+    rng = np.random.default_rng(4)
+    for density in (0.2, 0.5, 0.8):
+        a = (rng.random((17, 23)) < density).astype(int)
+        labels = kernels.label(a)
+        got = kernels.components(a)
+        assert ((got > 0) == (a > 0)).all()
+        for k in range(1, labels.max() + 1):
+            y, x = np.nonzero(labels == k)
+            assert (got[y, x] == y[0] * 23 + x[0] + 2).all()
+    px = spark.createDataFrame([(1, int(y), int(x), int(v)) for (y, x), v in np.ndenumerate(a)], "image_id long, y int, x int, v int")
+    one, other = (sorted(map(tuple, segment.cc_analysis(px, keep, largest=n).collect())) for n in (10**6, 1))
+    assert one == other
+
+
 def test_separable_classes(spark):
     t = train(spark)
     r = knn.accuracy(t, 3).first()
