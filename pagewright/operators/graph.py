@@ -127,9 +127,26 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
 
 
-def is_cyclic(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> bool:
+def is_cyclic(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame], small: int = SMALL) -> bool:
     """Whether a directed graph has a cycle: nodes without an incoming edge are peeled off until none is left to peel."""
     now = edges.select("src", "dst")
+    if small and now.limit(small + 1).count() <= small:
+        import pandas as pd
+
+        def peel(pdf: pd.DataFrame) -> pd.DataFrame:
+            into, out = pdf["dst"].value_counts().to_dict(), pdf.groupby("src")["dst"].agg(list).to_dict()
+            free = [x for x in out if x not in into]
+            left = len(pdf)
+            while free:
+                for y in out.pop(free.pop(), []):
+                    left -= 1
+                    into[y] -= 1
+                    if not into[y]:
+                        free.append(y)
+            return pd.DataFrame({"cyclic": [left > 0]})
+
+        found = in_one_task(now, peel, "cyclic boolean").first()
+        return bool(found and found["cyclic"])
     while not now.isEmpty():
         left = keep(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "peeled")
         if left.count() == now.count():
@@ -321,3 +338,89 @@ def graphviz(edges: DataFrame, directed: bool = True) -> DataFrame:
     """(line): one line of dot a row, without the frame."""
     arrow = " -> " if directed else " -- "
     return edges.select(F.concat(F.lit('"'), F.col("src").cast("string"), F.lit(f'"{arrow}"'), F.col("dst").cast("string"), F.lit('" [label="'), F.col("cost").cast("string"), F.lit('"];')).alias("line"))
+
+
+# --- restrictions ----------------------------------------------------------------------------------
+
+#: What a graph may have; a kind of graph is the set of what it allows.
+FLAGS = ("directed", "cyclic", "blob", "multi_connected", "self_connected")
+KINDS = {
+    "free": frozenset(FLAGS),
+    "dag": frozenset({"directed", "blob", "multi_connected"}),
+    "tree": frozenset({"directed"}),
+    "undirected": frozenset({"cyclic", "blob", "multi_connected"}),
+    "undirected_tree": frozenset(),
+}
+
+
+def violations(nodes: DataFrame, edges: DataFrame, kind: str, keep: Callable[[DataFrame, str], DataFrame]) -> list[str]:
+    """The flags that a kind of graph forbids and this graph needs, in the order of FLAGS."""
+    allowed = KINDS[kind]
+    plain = edges if "directed" in allowed else make_undirected(edges)
+    found = []
+    if "cyclic" not in allowed and (is_cyclic(edges, keep) if "directed" in allowed else undirected_cycle(nodes, edges, keep)):
+        found.append("cyclic")
+    if "blob" not in allowed and nsubgraphs(nodes, edges, keep) > 1:
+        found.append("blob")
+    if "multi_connected" not in allowed and is_multi_connected(edges if plain is edges else edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))):
+        found.append("multi_connected")
+    if "self_connected" not in allowed and is_self_connected(edges):
+        found.append("self_connected")
+    return found
+
+
+def conforms_restrictions(nodes: DataFrame, edges: DataFrame, kind: str, keep: Callable[[DataFrame, str], DataFrame]) -> bool:
+    return not violations(nodes, edges, kind, keep)
+
+
+def undirected_cycle(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> bool:
+    """Whether an undirected graph has a cycle: a forest has as many edges as nodes less components."""
+    e = make_not_self_connected(edges)
+    return is_self_connected(edges) or make_undirected(e).count() > nodes.count() - nsubgraphs(nodes, edges, keep)
+
+
+def make_acyclic(edges: DataFrame) -> DataFrame:
+    """The edges that lead from a smaller to a larger node: any order of the nodes leaves no cycle, and no edge of a graph that follows it goes."""
+    return edges.where("src < dst")
+
+
+def make_tree(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(src, dst, cost): the cheapest edges that connect what the graph connects, without a cycle."""
+    return minimum_spanning_tree(edges, keep)
+
+
+def make_blob(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id): the nodes without an edge may stay, as a blob is a set of nodes; all nodes, those of edges included."""
+    return nodes.select("id").unionByName(nodes_of(edges)).distinct()
+
+
+def depth_first(edges: DataFrame, start, small: int = SMALL) -> DataFrame:
+    """(place, id) in the order of a depth-first walk from ``start``, smaller neighbours first. A walk is sequential, so the graph may have at most ``small`` edges."""
+    import pandas as pd
+
+    e = edges.select("src", "dst").distinct()
+    if e.limit(small + 1).count() > small:
+        raise ValueError(f"a depth-first walk needs a graph of at most {small} edges")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for a, b in sorted(zip(pdf["src"], pdf["dst"], strict=True), reverse=True):
+            near.setdefault(a, []).append(b)
+        seen, stack = {}, [start]
+        while stack:
+            x = stack.pop()
+            if x not in seen:
+                seen[x] = len(seen)
+                stack += [y for y in near.get(x, []) if y not in seen]
+        return pd.DataFrame({"place": list(seen.values()), "id": list(seen)})
+
+    return in_one_task(e, run, "place int, id long")
+
+
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(nnodes, nedges)."""
+    return nodes.agg(F.count("*").alias("nnodes")).crossJoin(edges.agg(F.count("*").alias("nedges")))
+
+
+def has_node(nodes: DataFrame, node) -> bool:
+    return not nodes.where(F.col("id") == node).isEmpty()

@@ -95,6 +95,13 @@ def confidences(near: DataFrame, winners: DataFrame, k: int) -> DataFrame:
     ).withColumnRenamed("win", "class")
 
 
+def get_confidence(found: DataFrame, kind: str = "default") -> DataFrame:
+    """(q, class, confidence) of one measure from ``confidences``; -1 where a glyph has no class."""
+    if kind not in CONFIDENCES:
+        raise ValueError(f"no such confidence: {kind}")
+    return found.select("q", "class", F.when(F.col("class").isNull(), -1.0).otherwise(F.col(kind)).alias("confidence"))
+
+
 def classify(query: DataFrame, train: DataFrame, k: int = 1, kind: str = "city_block", **more) -> DataFrame:
     """(q, class, n, total) of each query."""
     return majority(nearest(query, train, k, kind, **more))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.lists import build_id_regex
 from . import knn, segment
@@ -31,6 +33,53 @@ def classify_list_automatic(glyphs: DataFrame, train: DataFrame, k: int = 1) ->
     return out.withColumns({"state": F.when(F.col("name").isNotNull(), "AUTOMATIC").otherwise(F.col("state")), "ids": F.when(F.col("name").isNotNull(), new).otherwise(F.col("ids"))}).drop("name", "confidence")
 
 
+def classify_and_update_list_automatic(glyphs: DataFrame, train: DataFrame, k: int = 1, split: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The classified glyphs, with those of a class _split.* replaced by their parts.
+
+    ``split`` gives the parts of such glyphs (the same columns, ids of their own); the parts are classified once.
+    """
+    done = classify_list_automatic(glyphs, train, k)
+    if split is None:
+        return done
+    cut = F.coalesce(F.col("ids")[0]["name"].startswith("_split."), F.lit(False))
+    return done.where(~cut).unionByName(classify_list_automatic(split(done.where(cut)), train, k))
+
+
+def group_and_update_list_automatic(glyphs: DataFrame, covers: DataFrame, ids_from: int) -> DataFrame:
+    """glyphs and one more for each group of several, whose box is their union; its parts are classed _group._part.<name>.
+
+    covers(root, members) as ``group_list_automatic`` gives them, glyphs(id, name, box); new ids are ids_from plus the smallest member.
+    """
+    members = covers.where(F.size("members") > 1).select(F.array_min("members").alias("first"), F.explode("members").alias("id"))
+    parts = glyphs.join(members, "id")
+    box = [(F.min(c) if c.startswith("ul") else F.max(c)).alias(c) for c in segment.BOX]
+    whole = parts.groupBy("first").agg(F.min_by("name", "id").alias("name"), *box).select((F.col("first") + ids_from).alias("id"), "name", *segment.BOX)
+    named = glyphs.join(members, "id", "left").withColumn("name", F.when(F.col("first").isNotNull(), F.concat(F.lit("_group._part."), "name")).otherwise(F.col("name")))
+    return named.select("id", "name", *segment.BOX).unionByName(whole)
+
+
+def merge_from_xml(train: DataFrame, more: DataFrame) -> DataFrame:
+    """train with the classified rows of ``more`` under ids behind its own; _group._part rows and unclassified ones aren't taken."""
+    last = train.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last"))
+    rest = more.where(F.col("class").isNotNull() & ~F.col("class").startswith("_group._part"))
+    return train.unionByName(rest.crossJoin(last).withColumn("id", F.col("id") + F.col("last") + 1).select(*train.columns))  # last is one row
+
+
+def generate_features_on_glyphs(px: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, features): the flat feature vector of each glyph's pixels."""
+    from ..functions.registry import feature_vectors
+
+    return feature_vectors(px, names).withColumnRenamed("image_id", "id")
+
+
+def cc_and_cluster(px: DataFrame, keep: Keep, ratio: float = 1.0) -> DataFrame:
+    """(image_id, label, cluster): the components of each image, clustered by the features of their boxes' pixels (rows, columns, black pixels)."""
+    found = segment.boxes(segment.cc_analysis(px, keep)).withColumn("id", F.xxhash64("image_id", "label"))
+    vectors = found.select("id", "image_id", F.array(F.col("lry") - F.col("uly") + 1, F.col("lrx") - F.col("ulx") + 1, "n").cast("array<double>").alias("features"))
+    groups = cluster(vectors, keep, ratio, within="image_id")
+    return found.join(groups, "id").select("image_id", "label", "cluster")
+
+
 def add_to_database(train: DataFrame, more: DataFrame) -> DataFrame:
     return train.unionByName(more.join(train.select("id"), "id", "left_anti"))
 
@@ -172,13 +221,27 @@ def make_string(glyphs: DataFrame) -> DataFrame:
 NAMED = {"period": ".", "comma": ",", "colon": ":", "semicolon": ";", "hyphen": "-", "space": " ", "exclamation": "!", "question": "?", "apostrophe": "'", "quotation": '"', "solidus": "/", "ampersand": "&"}
 
 
+@F.pandas_udf(StringType())
+def unicode_name(names: pd.Series) -> pd.Series:
+    """The character whose Unicode name a dotted class spells (greek.small.letter.alpha), else null."""
+
+    def find(name: str | None) -> str | None:
+        try:
+            return unicodedata.lookup(name.replace(".", " ").upper())
+        except (AttributeError, KeyError):
+            return None
+
+    known = {n: find(n) for n in names.unique()}
+    return names.map(known)
+
+
 def name_lookup_unicode(name: Column) -> Column:
-    """The character of a dotted class: letters by case (latin.small.letter.a), digits, some named signs, else _."""
+    """The character of a dotted class by its Unicode name; else letters by case, digits and some signs by the last part, else _."""
     last = F.element_at(F.split(name, r"\."), -1)
     upper = name.contains("capital") | name.contains("upper")
     digits = F.create_map(*[F.lit(x) for i, d in enumerate("zero one two three four five six seven eight nine".split()) for x in (d, str(i))])
     signs = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
-    return F.coalesce(F.when(F.length(last) == 1, F.when(upper, F.upper(last)).otherwise(last)), digits[last], signs[last], F.lit("_"))
+    return F.coalesce(unicode_name(name), F.when(F.length(last) == 1, F.when(upper, F.upper(last)).otherwise(last)), digits[last], signs[last], F.lit("_"))
 
 
 def ocr(glyphs: DataFrame, train: DataFrame, keep: Keep) -> DataFrame:

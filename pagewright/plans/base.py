@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..sources.raster import ink, text_raster
 from .scratch import keep
 
-__all__ = ["QUERIES", "SQL", "add", "add_pixels", "chats", "chats2", "docs", "dots", "edges", "glyphs", "keep", "pages", "rects", "rgb", "table"]
+__all__ = ["QUERIES", "SQL", "add", "add_pixel_sql", "add_pixels", "chats", "chats2", "docs", "dots", "edges", "glyphs", "keep", "pages", "rects", "rgb", "table"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,6 +143,10 @@ def add_pixels(name: str, run: Callable[[SparkSession, str], DataFrame], sql: st
     """Registers a query on pixels by the digests of its images; its whole tables are still read and every pixel enters."""
     add(name, lambda s, d: pixel_digest(run(s, d), values))
     if sql:
-        lead = with_clause(using) if using else ""
-        own = ("" if sql.lstrip().startswith(",") else "\n") + sql
-        SQL[name] = digest_sql(lead + own, values)
+        add_pixel_sql(name, sql, using, values)
+
+
+def add_pixel_sql(name: str, sql: str, using: str = "", values: tuple[str, ...] = ("v",)) -> None:
+    """The equivalent of a query that ``add_pixels`` has registered."""
+    lead = with_clause(using) if using else ""
+    SQL[name] = digest_sql(lead + ("" if sql.lstrip().startswith(",") else "\n") + sql, values)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import files, filters, images, learning, numbers, shapes  # noqa: F401  they register their queries
+from . import files, filters, images, learning, more, numbers, oracles, shapes  # noqa: F401  they register their queries
 from .base import QUERIES, SQL
 
 
