@@ -11,6 +11,7 @@ SAMPLE = [
     "add_images", "xor_image", "trim_image", "shear_row", "min_max_location", "pad_image", "mean_filter", "rank", "simple_sharpen", "dilate_with_structure", "labeled_region_edges_both", "otsu_threshold", "tsai_moment_preserving_threshold",
     "brink_threshold", "bernsen_threshold", "sauvola_threshold", "gatos_threshold", "knn_classify", "confusion_matrix", "normalization", "graph_components", "graph_bfs", "kdtree_k_nearest_neighbors", "rule_engine", "edit_distance",
     "stats_describe", "stats_histogram", "stats_spearmanr", "stats_rank_sums", "stats_f_oneway", "tables_abut", "tables_collapse", "png_rgb_round_trip", "tiff_onebit_round_trip", "glyph_xml_round_trip", "windowed_counts", "streaming_classification",
+    "mlcc_relabel", "region_lookup", "group_and_update_list_automatic", "generate_features", "get_confidence", "graph_dfs", "convolve_clip", "distance_transform_euclidean", "simple_feature_selector", "name_lookup_unicode",
 ]
 
 
