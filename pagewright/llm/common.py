@@ -63,7 +63,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], sc
         size = 0
         for row in fn(rows(batches)):
             out.append(row)
-            size += 64 + sum(len(x) if isinstance(x, str | bytes) else 40 * len(x) if isinstance(x, list) else 0 for x in row)
+            size += 64 + sum(len(x) if isinstance(x, str | bytes) else 40 * len(x) if isinstance(x, list) else getattr(x, "nbytes", 0) for x in row)
             if size > 8_000_000 or len(out) >= 8192:
                 yield batch_of(out, arrow)
                 out, size = [], 0
