@@ -147,13 +147,13 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, n: str, total: int) ->
     """Inner join of ``big`` with ``small``, whose rows are unique by ``key`` and hold in ``n`` how many rows of ``big`` have it.
 
     Frequent keys are salted: their rows of ``big`` are dealt over as many parts as they need, each of which gets a
-    copy of the key's row of ``small``. At most HOT_KEYS keys can be frequent, so their list may be broadcast.
+    copy of the key's row of ``small``. At most HOT_KEYS keys can be frequent, so their list may be broadcast; ``small`` never is.
     """
     least = max(HOT_ROWS, total // HOT_KEYS)
     hot = F.broadcast(small.where(F.col(n) > least).select(key, F.ceil(F.col(n) / least).cast("int").alias("__parts")))
     spread = big.join(hot, key, "left").withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*big.columns), F.col("__parts"))).cast("int")).drop("__parts")
     copies = small.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    return spread.join(copies, [key, "__salt"]).drop("__salt")
+    return spread.join(copies.hint("merge"), [key, "__salt"]).drop("__salt")
 
 
 def smallest_hashes(df: DataFrame, n: int, order: str = "order") -> DataFrame:

@@ -8,6 +8,9 @@ on all 64 bits. A bucket of many fingerprints would emit all its pairs; its memb
 64-bit point within 2 bits, and those that list the same point are linked with its smallest: fingerprints
 within 4 bits always share such a point and those that share one always are within 4, so no link is lost
 and none is invented, in rows that are linear in the bucket.
+
+Spark takes a table's size from its compressed files and doesn't count what explode adds, so it would send
+tables of millions of rows through the driver; joins of tables that grow with the corpus are merged instead.
 """
 
 from __future__ import annotations
@@ -75,11 +78,11 @@ def links(distinct: DataFrame) -> DataFrame:
         ).alias("x"),
     ).select("fp", "x.key", "x.table")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("table").cast("int")).alias("tables")).where("n > 1 and tables > 0")
-    met = materialize(keyed.join(buckets, "key").select("key", "fp", "table", "n"), "met")
+    met = materialize(keyed.join(buckets.hint("merge"), "key").select("key", "fp", "table", "n"), "met")
     small = met.where(F.col("n") <= PAIRWISE).select("key", "fp", "table")
     other = small.select("key", F.col("fp").alias("b"), F.col("table").alias("other"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= NEAR
-    pairs = small.join(other, "key").where((F.col("fp") < F.col("b")) & (F.col("table") | F.col("other")) & near).select(F.col("fp").alias("a"), "b")
+    pairs = small.join(other.hint("merge"), "key").where((F.col("fp") < F.col("b")) & (F.col("table") | F.col("other")) & near).select(F.col("fp").alias("a"), "b")
     dense = met.where(F.col("n") > PAIRWISE).select("fp").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(64))))
     dense = dense.withColumn("j", F.explode(F.sequence(F.least(F.col("i") + 1, F.lit(64)), F.lit(64))))
     points = dense.select("fp", F.expr(f"fp ^ ({bit('i')}) ^ ({bit('j')})").alias("point"))
@@ -99,9 +102,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     stars = connected_components(links(first.select("fp")), materialize)
     member = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
-    lowest = member.join(first, "fp").groupBy("root").agg(F.min("first").alias("lowest"))
-    of = member.join(lowest, "root").select("fp", "lowest")
-    ids = materialize(first.join(of, "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id")), "components")
+    lowest = member.join(first.hint("merge"), "fp").groupBy("root").agg(F.min("first").alias("lowest"))
+    of = member.join(lowest.hint("merge"), "root").select("fp", "lowest")
+    ids = materialize(first.join(of.hint("merge"), "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id")), "components")
     return join_hot(own, ids, "fp", "n", own.count()).select("doc_id", "fp", "component_id")
 
 

@@ -74,6 +74,26 @@ def test_links_sparse_and_dense(spark, monkeypatch):
     check_links(spark, {flip(base[2], rng.choice([0, 1, 2, 4])) for _ in range(25)} | set(base[:5]))
 
 
+def broadcast_joins(df):
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    from pagewright.llm import common
+
+    joins = Counter()
+
+    def kept(df, name):
+        joins[name] += broadcast_joins(df)
+        return common.materialize(df, name)
+
+    monkeypatch.setattr(S, "materialize", kept)
+    df = spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(40)], "doc_id long, text string")
+    out = S.near_duplicates(df)
+    assert out.count() == 40 and joins["met"] == 0 and joins["components"] == 0 and joins["edges"] == 0
+    assert broadcast_joins(out) == 2  # the list of frequent keys, on both sides
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(7, None, "x"), (3, "", "x"), (9, "a b c d e f", "x"), (9, "a b c d e f", "x"), (None, "a b c d e f", "x"), (12, "q r s t u v w", "x")]
     got = sorted(map(tuple, S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string")).select("doc_id", "component_id").collect()), key=str)
