@@ -102,8 +102,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     stars = connected_components(links(first.select("fp")), materialize)
     member = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
-    lowest = member.join(first.hint("merge"), "fp").groupBy("root").agg(F.min("first").alias("lowest"))
-    of = member.join(lowest.hint("merge"), "root").select("fp", "lowest")
+    lowest = materialize(member.join(first.hint("merge"), "fp").groupBy("root").agg(F.min("first").alias("lowest"), F.count("*").alias("n")), "lowest")
+    of = join_hot(member, lowest, "root", "n", member.count()).select("fp", "lowest")
     ids = materialize(first.join(of.hint("merge"), "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id")), "components")
     return join_hot(own, ids, "fp", "n", own.count()).select("doc_id", "fp", "component_id")
 

@@ -90,8 +90,14 @@ def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(S, "materialize", kept)
     df = spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(40)], "doc_id long, text string")
     out = S.near_duplicates(df)
-    assert out.count() == 40 and joins["met"] == 0 and joins["components"] == 0 and joins["edges"] == 0
-    assert broadcast_joins(out) == 2  # the list of frequent keys, on both sides
+    assert out.count() == 40 and joins["met"] == joins["edges"] == joins["lowest"] == 0
+    assert broadcast_joins(out) == joins["components"] == 2  # lists of frequent keys, on both sides
+
+
+def test_gone_copies_are_not_broadcast(spark):
+    df = spark.createDataFrame([(i, f"a b c d e f {i // 2}", 1) for i in range(40)], "doc_id long, text string, n long")
+    out = corpus_pipeline.near_copies(spark, df, SF)
+    assert broadcast_joins(out) == 0 and out.count() <= 20
 
 
 def test_near_duplicates_of_odd_rows(spark):
