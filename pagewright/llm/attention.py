@@ -13,6 +13,8 @@ WINDOW, STRIDE = 24, 12
 WIDTH, HIDDEN, SIDE = 16, 32, 32
 SYMBOLS = SIDE * SIDE
 END, OTHER = 0, 1
+#: Windows whose gradients are found at a time, so that their arrays stay in the cache.
+PART = 96
 
 Params = dict[str, np.ndarray]
 
@@ -56,7 +58,9 @@ def states(p: Params, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
         if not np.isfinite(o).all():  # scores far from what training leaves
             o = softmax((q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1) + MASK) @ v
     else:
-        a = softmax(a)
+        raw = np.exp(a)
+        sums = raw.sum(axis=-1, keepdims=True)
+        a = raw / sums if np.isfinite(sums).all() and sums.all() else softmax(a)
         o = a @ v
     h = x0 + (o.reshape(-1, WIDTH) @ p["mix"]).reshape(n, WINDOW, WIDTH)
     u = np.maximum(h.reshape(-1, WIDTH) @ p["up"] + p["up0"], 0)
@@ -92,15 +96,26 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[f
     f = out.reshape(-1, WIDTH)
     yy, ww = y.reshape(-1), (w / w.sum()).reshape(-1).astype(np.float32)
     g, i = yy >> 5, yy & 31
-    at = np.arange(len(yy))
-    a, b = softmax(f @ p["group"] + p["group0"]), softmax(f @ p["inner"] + p["inner0"][g])
-    loss = -float((ww * (np.log(a[at, g] + 1e-12) + np.log(b[at, i] + 1e-12))).sum())
-    a[at, g] -= 1
-    b[at, i] -= 1
-    a *= ww[:, None]
-    b *= ww[:, None]
-    d = {"group": f.T @ a, "group0": a.sum(0), "inner": f.T @ b, "inner0": np.eye(SIDE, dtype=np.float32)[:, g] @ b}
-    df = a @ p["group"].T + b @ p["inner"].T
+    both = np.concatenate([p["group"], p["inner"]], axis=1)
+    z = f @ both
+    z += np.take(np.concatenate([np.broadcast_to(p["group0"], (SIDE, SIDE)), p["inner0"]], axis=1), g, axis=0)
+    c = np.exp(z)
+    sums = c @ HALVES
+    if np.isfinite(sums).all() and sums.all():
+        c = c.reshape(-1, 2, SIDE)
+        c *= (1 / sums)[:, :, None]
+    else:
+        c = softmax(z.reshape(-1, 2, SIDE))
+    c = c.reshape(-1, 2 * SIDE)
+    at = np.arange(len(yy)) * (2 * SIDE)
+    flat = c.reshape(-1)
+    loss = -float((ww * (np.log(flat[at + g] + 1e-12) + np.log(flat[at + i + SIDE] + 1e-12))).sum())
+    flat[at + g] -= 1
+    flat[at + i + SIDE] -= 1
+    c *= ww[:, None]
+    dboth = f.T @ c
+    d = {"group": dboth[:, :SIDE], "group0": c[:, :SIDE].sum(0), "inner": dboth[:, SIDE:], "inner0": np.take(np.eye(SIDE, dtype=np.float32), g, axis=0).T @ c[:, SIDE:]}
+    df = c @ both.T
     d["down"] = s["u"].T @ df
     du = (df @ p["down"].T) * (s["u"] > 0)
     h = s["h"].reshape(-1, WIDTH)
@@ -110,14 +125,17 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[f
     do = (dh @ p["mix"].T).reshape(n, WINDOW, WIDTH)
     da = do @ s["v"].transpose(0, 2, 1)
     dv = s["a"].transpose(0, 2, 1) @ do
-    ds = s["a"] * (da - (da * s["a"]).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
+    da -= (do * s["o"]).sum(-1, keepdims=True)  # the sum of da by weight
+    da *= s["a"]
+    ds = da
+    ds *= np.float32(WIDTH**-0.5)
     dq, dk = ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"]
     dqkv = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * WIDTH)
     d["qkv"] = s["x0"].reshape(-1, WIDTH).T @ dqkv
     dx = (dh + dqkv @ p["qkv"].T).reshape(n, WINDOW, WIDTH)
     d["pos"] = dx.sum(0)
     d["emb"] = np.zeros_like(p["emb"])
-    order = np.argsort(x, axis=None, kind="stable")
+    order = np.argsort(x.astype(np.int16), axis=None, kind="stable")  # by radix
     own = x.reshape(-1)[order]
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     d["emb"][own[first]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first)
@@ -133,20 +151,20 @@ def windows(text: np.ndarray, again: bool = False) -> tuple[np.ndarray, np.ndarr
     return all_windows([text], again)[:3]
 
 
-def all_windows(texts: list[np.ndarray], again: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The ``windows`` of one text after the other, and whether a window is the first of its text."""
+def all_windows(texts: list[np.ndarray], again: bool = False, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``windows`` of one text after the other, each ``stride`` symbols on, and whether a window is the first of its text."""
     each = np.array([len(t) for t in texts])
-    count = 1 + np.maximum(0, -(-(each - WINDOW) // STRIDE))
-    room = (count - 1) * STRIDE + WINDOW + 1
+    count = 1 + np.maximum(0, -(-(each - WINDOW) // stride))
+    room = (count - 1) * stride + WINDOW + 1
     begin = np.cumsum(room) - room
     padded = np.full(room.sum(), END, dtype=np.int64)
     padded[np.arange(each.sum()) + np.repeat(begin + 1 - (np.cumsum(each) - each), each)] = np.concatenate(texts)
     number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    within = number[:, None] * STRIDE + np.arange(WINDOW)
+    within = number[:, None] * stride + np.arange(WINDOW)
     at = np.repeat(begin, count)[:, None] + within
     scored = within < np.repeat(each, count)[:, None]
     if not again:
-        scored[number > 0, : WINDOW - STRIDE] = False
+        scored[number > 0, : WINDOW - stride] = False
     return padded[at], padded[at + 1], scored, number == 0
 
 
@@ -177,7 +195,13 @@ class Adam:
 
     def step(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, rate: float) -> None:
         self.t += 1
-        _, d = gradients(self.p, x, y, w.astype(np.float32))
+        w = w.astype(np.float32)
+        d: Params = {}
+        for at in range(0, len(x), PART):
+            part = slice(at, at + PART)
+            share = np.float32(w[part].sum() / w.sum())
+            for k, z in gradients(self.p, x[part], y[part], w[part])[1].items():
+                d[k] = d[k] + share * z if k in d else share * z
         m, v = self.m, self.v
         for k in self.p:
             m[k] += 0.1 * (d[k] - m[k])

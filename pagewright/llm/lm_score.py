@@ -4,7 +4,7 @@ Words are counted over all training documents. To score, the most frequent words
 worker (a fixed number of them); the other words of a document are joined with the rest of the table by
 their hash. The attention model reads the same words, spelled as subword ids of a public tokenizer, in
 overlapping windows, each token once. It starts from a fit in numpy on a bounded sample; from there every
-partition goes on over windows of all its training documents, and the results are averaged. A word's
+partition goes on over every symbol of all its training documents, and the results are averaged. A word's
 probability is the mean of what its spelling has in this model and of its share of all training words, so
 what the score learns from grows with the corpus.
 """
@@ -37,10 +37,10 @@ NEVER = "  "
 HEAD = 1 << 18
 #: Documents the attention model starts from, and the most symbols taken from them.
 SAMPLE_DOCS, SAMPLE_SYMBOLS = 2_000, 3_000_000
-#: Every training document gives the attention model one window for each so many of its words, one at least.
-WORDS_A_WINDOW = 512
 #: Step size, and windows a step, as the partitions go on from the common start.
 RATE, BATCH = 0.001, 192
+#: Symbols whose windows are laid at a time.
+ROUND = 300_000
 #: Share of a word's probability that the counts give; its spelling gives the rest.
 COUNTED = 0.5
 #: Above every size class of a count.
@@ -158,50 +158,37 @@ def fit(train: DataFrame, path: str, symbol: np.ndarray, sample_docs: int = SAMP
     return attention.train([np.append(symbol[t], attention.END) for t in texts])
 
 
-def openings(path: str, symbol: np.ndarray, parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and whether a window has its target, [parts, WINDOW] each: the first symbols of each part of a text.
-
-    A part is its words, and whether the text begins and ends with them.
-    """
-    words, begins, ends = zip(*parts, strict=True)
-    ids, starts = spell_each(path, [w for part in words for w in part])
-    first = np.append(starts, len(ids))[np.cumsum([0, *map(len, words)])]
-    count, begins, ends = np.diff(first)[:, None], np.array(begins)[:, None], np.array(ends)[:, None]
-    place = np.arange(attention.WINDOW + 1) - begins
-    held = (place >= 0) & (place < count)
-    grid = np.full(held.shape, attention.END, dtype=np.int64)
-    grid[held] = symbol[ids[(first[:-1, None] + place)[held]]]
-    return grid[:, :-1], grid[:, 1:], np.arange(1, attention.WINDOW + 1) < begins + count + ends
-
-
 def go_on(train: DataFrame, model: attention.Params, path: str, symbol: np.ndarray) -> attention.Params:
     """The mean of the models that all partitions of ``train`` reach from ``model``, weighted by their windows.
 
-    Every document gives windows in proportion to its length, from places its text's hash sets.
+    Every symbol of every document is learned once. Windows of ROUND symbols are laid at a time and dealt over the
+    steps, so that a step's windows come from many documents.
     """
-    shared = train.sparkSession.sparkContext.broadcast((attention.pack(model), symbol))  # of fixed size
+    shared = train.sparkSession.sparkContext.broadcast((attention.pack(model), symbol.astype(np.int16)))  # of fixed size
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         start, symbol = shared.value
         adam = attention.Adam(attention.unpack(start))
-        waiting: list[tuple] = []  # words of a window, and whether the text begins and ends with them
         seen = 0
 
-        def learn() -> None:
-            adam.step(*openings(path, symbol, waiting), RATE)
-            waiting.clear()
+        def learn(texts: list[np.ndarray]) -> int:
+            x, y, w, _ = attention.all_windows(texts, True, attention.WINDOW)
+            steps = -(-len(x) // BATCH)
+            for k in range(steps):
+                adam.step(x[k::steps], y[k::steps], w[k::steps], RATE)
+            return len(x)
 
+        waiting, size = [], 0
         for (raw,) in rows:
-            words = words_of(raw)
-            own = xxhash.xxh3_64_digest(raw or b"")
-            for i in range(1 + len(words) // WORDS_A_WINDOW):
-                at = xxhash.xxh3_64_intdigest(own, i) % max(1, len(words))
-                waiting.append((words[at : at + attention.WINDOW + 1], at == 0, at + attention.WINDOW + 1 >= len(words)))
-                seen += 1
-                if len(waiting) >= BATCH:
-                    learn()
+            text = np.append(symbol[spell(path, words_of(raw))], np.int16(attention.END))
+            for at in range(0, len(text), ROUND):  # a text of any length, ROUND symbols at a time
+                waiting.append(text[at : at + ROUND])
+                size += len(waiting[-1])
+                if size >= ROUND:
+                    seen += learn(waiting)
+                    waiting, size = [], 0
         if waiting:
-            learn()
+            seen += learn(waiting)
         if seen:
             yield seen, attention.pack(adam.p).astype(np.float32).tobytes()
 

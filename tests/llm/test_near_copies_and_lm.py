@@ -369,6 +369,27 @@ def test_the_model_goes_on_over_all_documents(spark):
     assert np.array_equal(run([]), A.pack(A.fresh()))
 
 
+def test_every_symbol_of_long_documents_is_learned(spark):
+    symbol = np.arange(M.encoding(M.TOKENIZER).max_token_value + 1) % (A.SYMBOLS - 2) + 2
+    rows = [(i, " ".join(["red green blue"] * 160)) for i in range(30)]  # 480 words each, 30 of A.WINDOW are less than one step
+    got = A.pack(M.go_on(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), A.fresh(), M.TOKENIZER, symbol))
+    assert np.abs(got - A.pack(A.fresh())).max() > 1.5 * M.RATE  # one step moves no weight by more than RATE
+    texts = [np.arange(n) % 900 + 2 for n in (1, A.WINDOW, A.WINDOW + 1, 5 * A.WINDOW - 3)]
+    _, y, w, _ = A.all_windows(texts, True, A.WINDOW)
+    assert sorted(y[w].tolist()) == sorted(np.concatenate(texts).tolist())
+
+
+def test_a_step_by_parts_is_a_step(monkeypatch):
+    x, y, w, _ = A.all_windows([np.random.default_rng(i).integers(2, 1000, 40 * i + 1) for i in range(9)], True)
+    ends = []
+    for part in (7, len(x)):
+        monkeypatch.setattr(A, "PART", part)
+        adam = A.Adam(A.fresh())
+        adam.step(x, y, w, 0.01)
+        ends.append(A.pack(adam.m))
+    assert np.allclose(*ends, atol=1e-6)
+
+
 def test_equal_short_lines_go_in_the_query(spark, tmp_path):
     from pagewright.llm.queries import op9_line_dedup
 
