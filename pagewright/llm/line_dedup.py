@@ -15,6 +15,8 @@ line's first or last half as it is, so a line emits deletions behind a first hal
 another line has as well (exactly: no neighbour is lost). The lines that emit are found again in the texts by
 a filter in memory, sized by their number; beyond FILTER_PLACES of them by a join with the texts.
 
+Texts that lose lines are found by such a filter as well, so only they are shuffled to meet their lines' numbers.
+
 A row is named by its file and its place in it (``common.identified``), so all scans agree on it however the
 files are split and whichever executors are lost. Keys that many lines share are salted.
 """
@@ -194,6 +196,21 @@ def duplicate_lines(texts: DataFrame, shortest: int = SHORTEST, equal: int = 1,
     return drop.groupBy(F.col("at.file").alias("file"), F.col("at.row").alias("row")).agg(F.collect_set("at.line").alias("lines"))
 
 
+def losing(docs: DataFrame, file: str, row: str, drop: DataFrame, n: int):
+    """A condition on ``docs`` that holds for the n rows that ``drop`` (file, row) lists, and for a few more by chance."""
+    places = drop.select(F.struct("file", "row", F.lit(0).alias("line")).alias("at"), F.lit(True).alias("first"), F.lit(False).alias("final"))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(places, n))  # 2 bytes for each of at most FILTER_PLACES
+
+    @F.pandas_udf("boolean")
+    def has(files: pd.Series, rows: pd.Series) -> pd.Series:
+        own = bits.value
+        size = len(own) * 8
+        slots = (slots_of(f, r, 0)[0] for f, r in zip(files, rows, strict=True))
+        return pd.Series([all(own[x % size >> 3] >> (x % size & 7) & 1 for x in two) for two in slots], dtype=bool)
+
+    return has(file, row)
+
+
 def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, equal: int = 1, most: int = FILTER_PLACES) -> DataFrame:
     """All columns of ``docs`` with the duplicate lines cut out of ``text``, and __n_lines and __n_dropped.
 
@@ -203,9 +220,13 @@ def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, equal: int = 1, most:
     through, whatever their names; empty tables give empty results.
     """
     known, (file, row) = identified(docs)
-    drop = duplicate_lines(known.select(F.col(file).alias("file"), F.col(row).alias("row"), "doc_id", "text"), shortest, equal, most)
+    drop = materialize(duplicate_lines(known.select(F.col(file).alias("file"), F.col(row).alias("row"), "doc_id", "text"), shortest, equal, most), "drop")
+    n = drop.count()
     cut, n_lines, n_dropped = (free_name(known, x) for x in ("__lines", "__n_lines", "__n_dropped"))
-    out = known.join(drop.toDF(file, row, cut), [file, row], "left")
+    loses = losing(known, file, row, drop, n) if n <= most else F.lit(True)
+    out = known.where(loses).join(drop.toDF(file, row, cut).hint("merge"), [file, row], "left")
+    if n <= most:
+        out = out.unionByName(known.where(~loses).withColumn(cut, F.lit(None).cast("array<int>")))
     pieces = F.split(F.col("text"), "\n", -1)
     kept = F.filter(pieces, lambda _, k: ~F.array_contains(cut, k))
     text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 from helpers import SF
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagewright.llm import attention as A
@@ -390,6 +391,17 @@ def test_a_step_by_parts_is_a_step(monkeypatch):
     assert np.allclose(*ends, atol=1e-6)
 
 
+def test_texts_that_lose_nothing_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"{i} own line {i * i}" if i % 50 else "one line") for i in range(1000)], "doc_id long, text string")
+    known, (file, row) = E.identified(docs)
+    drop = known.where("doc_id % 50 = 0").select(F.col(file).alias("file"), F.col(row).alias("row"))
+    hit = {r["doc_id"] for r in known.where(E.losing(known, file, row, drop, 20)).collect()}
+    assert hit >= set(range(0, 1000, 50)) and len(hit) < 40
+    out = E.dedup_lines(docs)
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 1000 and {r["doc_id"] for r in out.where("__n_dropped > 0").collect()} == set(range(50, 1000, 50))
+
+
 def test_equal_short_lines_go_in_the_query(spark, tmp_path):
     from pagewright.llm.queries import op9_line_dedup
 
