@@ -31,8 +31,9 @@ def fresh(seed: int = 7) -> Params:
 MASK = np.where(np.tril(np.ones((WINDOW, WINDOW), dtype=bool)), np.float32(0), np.float32(-1e9))
 
 
-#: Sums each half of a row of logits.
-HALVES = np.kron(np.eye(2, dtype=np.float32), np.ones((SIDE, 1), dtype=np.float32))
+#: Sums a row of SIDE; a row of it for each group.
+ONES, GROUPS = np.ones(SIDE, dtype=np.float32), np.eye(SIDE, dtype=np.float32)
+SCALE = np.float32(WIDTH**-0.5)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -42,49 +43,74 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def keep_memory() -> None:
+    """Has this process keep freed memory for its next arrays.
+
+    glibc gives back, and gets zeroed page by page again, what is larger than any array freed before (32 MB at most).
+    """
+    np.empty(31 << 20, dtype=np.uint8)
+
+
+def projections(p: Params) -> tuple[np.ndarray, ...]:
+    """What gives queries, with their scale, keys and values."""
+    q, k, v = (p["qkv"][:, at : at + WIDTH] for at in range(0, 3 * WIDTH, WIDTH))
+    return q * SCALE, k, v
+
+
+def good(sums: np.ndarray) -> bool:
+    """Whether exponentials without a shift gave these sums: neither overflow nor nothing but zeros."""
+    return bool(np.isfinite(sums).all() and sums.all())
+
+
 def states(p: Params, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
     """Hidden states [batch, WINDOW, WIDTH] of symbols x [batch, WINDOW]; each sees only itself and what precedes."""
     n = len(x)
-    x0 = p["emb"][x] + p["pos"]
-    qkv = x0.reshape(-1, WIDTH) @ p["qkv"]
-    q, k, v = (qkv[:, i * WIDTH : (i + 1) * WIDTH].reshape(n, WINDOW, WIDTH) for i in range(3))
-    a = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+    x0 = np.take(p["emb"], x, axis=0)
+    x0 += p["pos"]
+    q, k, v = ((x0.reshape(-1, WIDTH) @ m).reshape(n, WINDOW, WIDTH) for m in projections(p))
+    a = q @ k.transpose(0, 2, 1)
     a += MASK
-    if keep is None:
-        np.exp(a, out=a)
-        # a column of ones makes the product give the weights' sums as well
-        o = a @ np.concatenate([v, np.ones((n, WINDOW, 1), dtype=np.float32)], axis=2)
-        o = o[..., :WIDTH] / o[..., WIDTH:]
-        if not np.isfinite(o).all():  # scores far from what training leaves
-            o = softmax((q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1) + MASK) @ v
-    else:
-        raw = np.exp(a)
-        sums = raw.sum(axis=-1, keepdims=True)
-        a = raw / sums if np.isfinite(sums).all() and sums.all() else softmax(a)
-        o = a @ v
-    h = x0 + (o.reshape(-1, WIDTH) @ p["mix"]).reshape(n, WINDOW, WIDTH)
-    u = np.maximum(h.reshape(-1, WIDTH) @ p["up"] + p["up0"], 0)
-    out = h + (u @ p["down"]).reshape(n, WINDOW, WIDTH)
+    np.exp(a, out=a)
+    sums = (a.reshape(-1, WINDOW) @ ONES[:WINDOW]).reshape(n, WINDOW, 1)
+    if not good(sums):  # scores far from what training leaves
+        a = softmax(q @ k.transpose(0, 2, 1) + MASK)
+        sums = np.ones_like(sums)
+    r = 1 / sums
+    o = a @ v
+    o *= r
+    h = o.reshape(-1, WIDTH) @ p["mix"]
+    h += x0.reshape(-1, WIDTH)
+    u = h @ p["up"]
+    u += p["up0"]
+    np.maximum(u, 0, out=u)
+    out = u @ p["down"]
+    out += h
     if keep is not None:
-        keep.update(x0=x0, q=q, k=k, v=v, a=a, o=o, h=h, u=u)
-    return out
+        keep.update(x0=x0, q=q, k=k, v=v, a=a, r=r, o=o, h=h, u=u)
+    return out.reshape(n, WINDOW, WIDTH)
+
+
+def logits(p: Params, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the groups after the states h [n, WIDTH], and of the symbols of the groups g [n]."""
+    a, b = h @ p["group"], h @ p["inner"]
+    a += p["group0"]
+    b += np.take(p["inner0"], g, axis=0)
+    return a, b
 
 
 def log_probs(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each symbol y [n] after the state h [n, WIDTH]."""
     g, i = y >> 5, y & 31
-    z = h @ np.concatenate([p["group"], p["inner"]], axis=1)
-    z += np.take(np.concatenate([np.broadcast_to(p["group0"], (SIDE, SIDE)), p["inner0"]], axis=1), g, axis=0)
-    at = np.arange(len(y)) * (2 * SIDE)
-    out = np.take(z, at + g) + np.take(z, at + i + SIDE)
-    np.exp(z, out=z)
-    sums = z @ HALVES
-    out -= np.log(sums[:, 0] * sums[:, 1])
+    a, b = logits(p, h, g)
+    at = np.arange(0, len(y) * SIDE, SIDE)
+    out = np.take(a, at + g) + np.take(b, at + i)
+    np.exp(a, out=a)
+    np.exp(b, out=b)
+    out -= np.log((a @ ONES) * (b @ ONES))
     if not np.isfinite(out).all():  # logits far from what training leaves: once more, shifted
-        z = (h @ np.concatenate([p["group"], p["inner"]], axis=1) + np.concatenate([np.broadcast_to(p["group0"], (SIDE, SIDE)), p["inner0"]], axis=1)[g]).astype(np.float64)
-        a, b, at = z[:, :SIDE], z[:, SIDE:], np.arange(len(y))
+        a, b = (z.astype(np.float64) for z in logits(p, h, g))
         top = lambda m: m.max(axis=1) + np.log(np.exp(m - m.max(axis=1, keepdims=True)).sum(axis=1))
-        out = a[at, g] + b[at, i] - top(a) - top(b)
+        out = np.take(a, at + g) + np.take(b, at + i) - top(a) - top(b)
     return out
 
 
@@ -92,53 +118,53 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[f
     """Mean loss over the targets y [batch, WINDOW] of weight w, and its gradients."""
     s: dict = {}
     n = len(x)
-    out = states(p, x, s)
-    f = out.reshape(-1, WIDTH)
+    f = states(p, x, s).reshape(-1, WIDTH)
     yy, ww = y.reshape(-1), (w / w.sum()).reshape(-1).astype(np.float32)
     g, i = yy >> 5, yy & 31
-    both = np.concatenate([p["group"], p["inner"]], axis=1)
-    z = f @ both
-    z += np.take(np.concatenate([np.broadcast_to(p["group0"], (SIDE, SIDE)), p["inner0"]], axis=1), g, axis=0)
-    c = np.exp(z)
-    sums = c @ HALVES
-    if np.isfinite(sums).all() and sums.all():
-        c = c.reshape(-1, 2, SIDE)
-        c *= (1 / sums)[:, :, None]
-    else:
-        c = softmax(z.reshape(-1, 2, SIDE))
-    c = c.reshape(-1, 2 * SIDE)
-    at = np.arange(len(yy)) * (2 * SIDE)
-    flat = c.reshape(-1)
-    loss = -float((ww * (np.log(flat[at + g] + 1e-12) + np.log(flat[at + i + SIDE] + 1e-12))).sum())
-    flat[at + g] -= 1
-    flat[at + i + SIDE] -= 1
-    c *= ww[:, None]
-    dboth = f.T @ c
-    d = {"group": dboth[:, :SIDE], "group0": c[:, :SIDE].sum(0), "inner": dboth[:, SIDE:], "inner0": np.take(np.eye(SIDE, dtype=np.float32), g, axis=0).T @ c[:, SIDE:]}
-    df = c @ both.T
+    at = np.arange(0, len(yy) * SIDE, SIDE)
+    d: Params = {}
+    loss, df = 0.0, 0
+    for name, c, own in zip(("group", "inner"), logits(p, f, g), (g, i), strict=True):
+        np.exp(c, out=c)
+        sums = c @ ONES
+        if not good(sums):
+            c = softmax(logits(p, f, g)[name == "inner"])
+            sums = np.ones_like(sums)
+        flat = c.reshape(-1)
+        loss -= float((ww * np.log(flat[at + own] / sums + 1e-12)).sum())
+        c *= (ww / sums)[:, None]
+        flat[at + own] -= ww
+        d[name] = f.T @ c
+        d[name + "0"] = ONES[:1].repeat(len(c)) @ c if name == "group" else np.take(GROUPS, g, axis=0).T @ c
+        df = c @ p[name].T + df
     d["down"] = s["u"].T @ df
-    du = (df @ p["down"].T) * (s["u"] > 0)
-    h = s["h"].reshape(-1, WIDTH)
-    d["up"], d["up0"] = h.T @ du, du.sum(0)
-    dh = df + du @ p["up"].T
+    du = df @ p["down"].T
+    du *= s["u"] > 0
+    d["up"], d["up0"] = s["h"].T @ du, ONES[:1].repeat(len(du)) @ du
+    dh = du @ p["up"].T
+    dh += df
     d["mix"] = s["o"].reshape(-1, WIDTH).T @ dh
     do = (dh @ p["mix"].T).reshape(n, WINDOW, WIDTH)
-    da = do @ s["v"].transpose(0, 2, 1)
-    dv = s["a"].transpose(0, 2, 1) @ do
-    da -= (do * s["o"]).sum(-1, keepdims=True)  # the sum of da by weight
-    da *= s["a"]
-    ds = da
-    ds *= np.float32(WIDTH**-0.5)
-    dq, dk = ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"]
-    dqkv = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * WIDTH)
+    do *= s["r"]
+    # a holds the weights without r, which do has now
+    ds = do @ s["v"].transpose(0, 2, 1)
+    ds -= np.einsum("nid,nid->ni", do, s["o"])[..., None]  # the sum of ds by weight
+    ds *= s["a"]
+    dqkv = np.empty((n, WINDOW, 3 * WIDTH), dtype=ds.dtype)
+    np.matmul(ds, s["k"], out=dqkv[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), s["q"], out=dqkv[..., WIDTH : 2 * WIDTH])
+    np.matmul(s["a"].transpose(0, 2, 1), do, out=dqkv[..., 2 * WIDTH :])
+    dqkv = dqkv.reshape(-1, 3 * WIDTH)
     d["qkv"] = s["x0"].reshape(-1, WIDTH).T @ dqkv
-    dx = (dh + dqkv @ p["qkv"].T).reshape(n, WINDOW, WIDTH)
-    d["pos"] = dx.sum(0)
+    d["qkv"][:, :WIDTH] *= SCALE
+    dx = dqkv @ np.concatenate(projections(p), axis=1).T
+    dx += dh
+    d["pos"] = dx.reshape(n, WINDOW, WIDTH).sum(0)
     d["emb"] = np.zeros_like(p["emb"])
     order = np.argsort(x.astype(np.int16), axis=None, kind="stable")  # by radix
     own = x.reshape(-1)[order]
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    d["emb"][own[first]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first)
+    d["emb"][own[first]] = np.add.reduceat(np.take(dx, order, axis=0), first)
     return loss, d
 
 
@@ -160,12 +186,12 @@ def all_windows(texts: list[np.ndarray], again: bool = False, stride: int = STRI
     padded = np.full(room.sum(), END, dtype=np.int64)
     padded[np.arange(each.sum()) + np.repeat(begin + 1 - (np.cumsum(each) - each), each)] = np.concatenate(texts)
     number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    within = number[:, None] * stride + np.arange(WINDOW)
-    at = np.repeat(begin, count)[:, None] + within
-    scored = within < np.repeat(each, count)[:, None]
+    rows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)
+    at = np.repeat(begin, count) + number * stride
+    scored = np.arange(WINDOW) < (np.repeat(each, count) - number * stride)[:, None]
     if not again:
         scored[number > 0, : WINDOW - stride] = False
-    return padded[at], padded[at + 1], scored, number == 0
+    return rows[at], rows[at + 1], scored, number == 0
 
 
 def train(texts: list[np.ndarray], steps: int = 900, batch: int = 192, seed: int = 7) -> Params:
@@ -173,6 +199,7 @@ def train(texts: list[np.ndarray], steps: int = 900, batch: int = 192, seed: int
     p = fresh(seed)
     if not texts:
         return p
+    keep_memory()
     x, y, w = (np.concatenate(z) for z in zip(*(windows(t, True) for t in texts), strict=True))
     counts = np.bincount(y[w], minlength=SYMBOLS).astype(np.float32) + 0.5
     groups = counts.reshape(SIDE, SIDE)
@@ -187,26 +214,33 @@ def train(texts: list[np.ndarray], steps: int = 900, batch: int = 192, seed: int
 
 
 class Adam:
-    """Changes ``p`` in place."""
+    """Changes ``p`` in place; its arrays become parts of one."""
 
     def __init__(self, p: Params):
+        self.flat = pack(p)
         self.p, self.t = p, 0
-        self.m, self.v = ({k: np.zeros_like(z) for k, z in p.items()} for _ in range(2))
+        p.update(views(self.flat, p))
+        self.moments = np.zeros((2, len(self.flat)), dtype=self.flat.dtype)
+        self.m = views(self.moments[0], p)
 
     def step(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, rate: float) -> None:
         self.t += 1
         w = w.astype(np.float32)
-        d: Params = {}
+        d = np.zeros_like(self.flat)
         for at in range(0, len(x), PART):
             part = slice(at, at + PART)
-            share = np.float32(w[part].sum() / w.sum())
-            for k, z in gradients(self.p, x[part], y[part], w[part])[1].items():
-                d[k] = d[k] + share * z if k in d else share * z
-        m, v = self.m, self.v
-        for k in self.p:
-            m[k] += 0.1 * (d[k] - m[k])
-            v[k] += 0.01 * (d[k] * d[k] - v[k])
-            self.p[k] -= (rate * (m[k] / (1 - 0.9**self.t)) / (np.sqrt(v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            if own := w[part].sum():
+                d += np.float32(own / w.sum()) * pack(gradients(self.p, x[part], y[part], w[part])[1])
+        m, v = self.moments
+        m += np.float32(0.1) * (d - m)
+        v += np.float32(0.01) * (d * d - v)
+        self.flat -= np.float32(rate / (1 - 0.9**self.t)) * m / (np.sqrt(v / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
+
+
+def views(flat: np.ndarray, like: Params) -> Params:
+    """The parts of ``flat`` in the order of ``pack``."""
+    cuts = np.cumsum([like[k].size for k in sorted(like)])[:-1]
+    return {k: z.reshape(like[k].shape) for k, z in zip(sorted(like), np.split(flat, cuts), strict=True)}
 
 
 def pack(p: Params) -> np.ndarray:
@@ -214,9 +248,7 @@ def pack(p: Params) -> np.ndarray:
 
 
 def unpack(flat: np.ndarray) -> Params:
-    like = fresh()
-    cuts = np.cumsum([like[k].size for k in sorted(like)])[:-1]
-    return {k: z.reshape(like[k].shape).astype(np.float32) for k, z in zip(sorted(like), np.split(flat, cuts), strict=True)}
+    return {k: z.astype(np.float32) for k, z in views(flat, fresh()).items()}
 
 
 def tables(p: Params) -> tuple[np.ndarray, ...]:
@@ -258,15 +290,16 @@ def symbol_scores(p: Params, texts: list[np.ndarray], most: int = 256) -> list[n
     if not texts:
         return []
     x, y, w, first = all_windows(texts)
-    place = (np.cumsum(w.reshape(-1)) - 1).reshape(w.shape)
-    out = np.zeros(int(w.sum()))
+    many = w.sum(axis=1)
+    begin = np.cumsum(many) - many
+    out = np.zeros(int(many.sum()))
     own = tables(p)
     for which, start in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), WINDOW - STRIDE)):
         for at in range(0, len(which), most):
             part = which[at : at + most]
             h = last_states(p, own, x[part], start)
             take = w[part, start:]
-            out[place[part, start:][take]] = log_probs(p, h[take], y[part, start:][take])
+            out[(begin[part, None] + np.arange(WINDOW - start))[take]] = log_probs(p, h[take], y[part, start:][take])
     return np.split(out, np.cumsum([len(t) for t in texts[:-1]]))
 
 

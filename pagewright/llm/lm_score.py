@@ -41,6 +41,8 @@ SAMPLE_DOCS, SAMPLE_SYMBOLS = 2_000, 3_000_000
 RATE, BATCH = 0.001, 192
 #: Symbols whose windows are laid at a time.
 ROUND = 300_000
+#: Words that a task keeps the spelling of, and bytes of text spelled and scored at a time (or one text, if longer).
+KEPT, BYTES = 400_000, 500_000
 #: Share of a word's probability that the counts give; its spelling gives the rest.
 COUNTED = 0.5
 #: Above every size class of a count.
@@ -86,6 +88,66 @@ def opening(path: str) -> np.ndarray:
     return out
 
 
+def head_counts(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Counts of the wanted keys by the head's sorted ``keys``; not a number for keys that it doesn't have."""
+    if not len(keys):
+        return np.full(len(wanted), np.nan)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], np.nan)
+
+
+class Words:
+    """Numbers of words, and the subword ids of each number, so that a word of many texts is spelled once."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.clear()
+
+    def clear(self) -> None:
+        new: list[bytes] = []
+
+        class Number(dict):
+            def __missing__(self, word: bytes) -> int:
+                self[word] = out = len(self)
+                new.append(word)
+                return out
+
+        self.number, self.new = Number(), new
+        self.ids, self.starts, self.many = (np.zeros(0, dtype=np.int64) for _ in range(3))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def learn(self) -> list[bytes]:
+        """Spells the words that came since the last call, and returns them."""
+        new = self.new[:]
+        self.new.clear()
+        ids, starts = spell_each(self.path, new)
+        self.starts = np.append(self.starts, starts + len(self.ids))
+        self.many = np.append(self.many, np.diff(np.append(starts, len(ids))))
+        self.ids = np.append(self.ids, ids)
+        return new
+
+    def spelled(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of the words of these numbers, all of them learned, and how many each has."""
+        many = self.many[numbers]
+        return self.ids[np.arange(many.sum()) + np.repeat(self.starts[numbers] - (np.cumsum(many) - many), many)], many
+
+
+def by_bytes(rows: Iterator[tuple], most: int = BYTES, rows_most: int = 2000) -> Iterator[list[tuple]]:
+    """The rows, whose last value is a text, in lists of about ``most`` bytes."""
+    out: list[tuple] = []
+    size = 0
+    for row in rows:
+        out.append(row)
+        size += len(row[-1] or b"")
+        if size > most or len(out) >= rows_most:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def words_of(raw: bytes | None) -> list[bytes]:
     return raw.lower().split() if raw else []
 
@@ -167,6 +229,7 @@ def go_on(train: DataFrame, model: attention.Params, path: str, symbol: np.ndarr
     shared = train.sparkSession.sparkContext.broadcast((attention.pack(model), symbol.astype(np.int16)))  # of fixed size
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        attention.keep_memory()
         start, symbol = shared.value
         adam = attention.Adam(attention.unpack(start))
         seen = 0
@@ -178,9 +241,20 @@ def go_on(train: DataFrame, model: attention.Params, path: str, symbol: np.ndarr
                 adam.step(x[k::steps], y[k::steps], w[k::steps], RATE)
             return len(x)
 
+        def texts() -> Iterator[np.ndarray]:
+            words = Words(path)
+            for part in by_bytes(rows):
+                if len(words.number) > KEPT:
+                    words.clear()
+                numbers = [words.numbers(words_of(raw)) for (raw,) in part]
+                words.learn()
+                ids, many = words.spelled(np.concatenate(numbers))
+                stop = np.append(0, np.cumsum(many))[np.cumsum([len(z) for z in numbers])]
+                yield from np.split(symbol[ids], stop[:-1])
+
         waiting, size = [], 0
-        for (raw,) in rows:
-            text = np.append(symbol[spell(path, words_of(raw))], np.int16(attention.END))
+        for text in texts():
+            text = np.append(text, np.int16(attention.END))
             for at in range(0, len(text), ROUND):  # a text of any length, ROUND symbols at a time
                 waiting.append(text[at : at + ROUND])
                 size += len(waiting[-1])
@@ -235,58 +309,50 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZER, mod: int = 7, held: int =
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         os.environ.setdefault("OMP_NUM_THREADS", "1")
+        attention.keep_memory()
         keys, values, model, symbol, share = shared.value
-        count_of = dict(zip(keys.tolist(), values.tolist(), strict=True))
         end = at_end(keys, values)
-
-        class Known(dict):
-            """Count of a head word; not a number for others."""
-
-            def __missing__(self, word: bytes) -> float:
-                if len(self) >= 400_000:
-                    self.clear()
-                self[word] = out = count_of.get(max(xxhash.xxh3_64_intdigest(word) - 2**63, END_KEY + 1), math.nan)
-                return out
-
-        known = Known()
-        waiting: list[tuple] = []
-        size = 0
-
-        def flush() -> Iterator[tuple]:
-            if not waiting:
-                return
-            each, words = (np.array([len(z[i]) + 1 for z in waiting]) for i in (-3, -2))  # symbols and tokens, with the ends
-            stop, last = np.cumsum(each) - 1, np.cumsum(words) - 1
-            spelt, worded = np.ones(each.sum(), dtype=bool), np.ones(words.sum(), dtype=bool)
-            spelt[stop], worded[last] = False, False
-            ids = np.concatenate([z[-3] for z in waiting])
+        words = Words(path)
+        known, hashes = np.zeros(0), np.zeros(0, dtype=np.int64)
+        for part in by_bytes(rows):
+            if len(words.number) > KEPT:
+                words.clear()
+                known, hashes = known[:0], hashes[:0]
+            numbers = [words.numbers(words_of(raw)) for *_, raw in part]
+            new = word_keys(words.learn())
+            hashes = np.append(hashes, new)
+            known = np.append(known, head_counts(keys, values, new))
+            tokens = np.array([len(z) + 1 for z in numbers])  # with the ends
+            last = np.cumsum(tokens) - 1
+            numbers = np.concatenate(numbers)
+            ids, many = words.spelled(numbers)
+            worded = np.ones(tokens.sum(), dtype=bool)
+            worded[last] = False
+            length = np.ones(len(worded), dtype=np.int64)
+            length[worded] = many
+            starts = np.cumsum(length) - length
+            spelt = np.ones(length.sum(), dtype=bool)
+            spelt[starts[last]] = False
             symbols, shares = np.full(len(spelt), attention.END), np.zeros(len(spelt))
             symbols[spelt], shares[spelt] = symbol[ids], share[ids]
-            logs = np.concatenate(attention.symbol_scores(model, np.split(symbols, stop[:-1] + 1))) + shares
-            starts, times = stop[np.repeat(np.arange(len(words)), words)], np.full(len(worded), float(end))
-            starts[worded] = np.concatenate([z[-2] for z in waiting]) + np.repeat(stop + 1 - each, words - 1)
-            times[worded] = np.concatenate([z[-1] for z in waiting])
-            spelled, unknown = np.add.reduceat(logs, starts), np.isnan(times)
+            logs = np.concatenate(attention.symbol_scores(model, np.split(symbols, starts[last[:-1]] + 1))) + shares
+            times = np.full(len(worded), float(end))  # count of a head word or of the end; not a number for others
+            times[worded] = known[numbers]
+            unknown = np.isnan(times)
+            times[unknown] = 0
+            spelled = np.add.reduceat(logs, starts)
             with np.errstate(divide="ignore"):
-                tokens = np.logaddexp(spelled + math.log(1 - COUNTED), np.log(COUNTED * np.nan_to_num(times) / max(1, n)))
-            values = np.add.reduceat(tokens, last + 1 - words)
-            for (*one, far, _, _, _), value, begin, at in zip(waiting, values.tolist(), last + 1 - words, last, strict=True):
-                yield *one, far, spelled[begin:at][unknown[begin:at]].astype(np.float32) if len(far) else far.astype(np.float32), value
-
-        for row, doc_id, raw in rows:
-            words = words_of(raw)
-            times = np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
-            miss = np.isnan(times)
-            base = float(np.log10(times[~miss] + 1).sum()) + (math.log10(end + 1) if end else 0.0)
-            n_known = int(len(words) - miss.sum()) + (end > 0)
-            far = word_keys([] if whole else [words[i] for i in np.flatnonzero(miss).tolist()])
-            ids, starts = spell_each(path, words)
-            waiting.append((row, doc_id, len(words) + 1, n_known, base, far, ids, starts, times))
-            size += len(ids) + 1
-            if size > 200_000 or len(waiting) >= 2000:
-                yield from flush()
-                waiting, size = [], 0
-        yield from flush()
+                mixed = np.logaddexp(spelled + math.log(1 - COUNTED), np.log(COUNTED * times / max(1, n)))
+            first = last + 1 - tokens
+            base, n_known, score = (np.add.reduceat(z, first).tolist() for z in (np.log10(times + 1), (times > 0).astype(np.int64), mixed))
+            far = np.zeros(0, dtype=np.int64) if whole else np.flatnonzero(unknown)
+            cuts = np.searchsorted(far, last).tolist()
+            number = np.cumsum(worded) - 1
+            far_keys, far_spelled = hashes[numbers[number[far]]], spelled[far].astype(np.float32)
+            at = 0
+            for (row, doc_id, _), t, k, z, stop, value in zip(part, tokens.tolist(), n_known, base, cuts, score, strict=True):
+                yield row, doc_id, t, k, z, far_keys[at:stop], far_spelled[at:stop], value
+                at = stop
 
     def at_end(keys: np.ndarray, values: np.ndarray) -> int:
         return int(values[0]) if len(keys) and keys[0] == END_KEY else ends

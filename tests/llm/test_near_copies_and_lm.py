@@ -2,8 +2,11 @@
 
 import math
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -409,3 +412,36 @@ def test_equal_short_lines_go_in_the_query(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in op9_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (4, 0, docs[0][1]), 2: (4, 2, "\nshare that"), 3: (0, 0, None)}
+
+
+def test_a_word_of_many_texts_is_spelled_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(M, "spell_each", lambda path, words, f=M.spell_each: asked.extend(words) or f(path, words))
+    words = M.Words(M.TOKENIZER)
+    texts = [b"one two  two", b"", b"two caf\xc3\xa9 \xff\xfe", b"caf\xc3\xa9 one unseenword"]
+    for part in (texts[:2], texts[2:]):
+        numbers = [words.numbers(M.words_of(t)) for t in part]
+        words.learn()
+        for t, z in zip(part, numbers, strict=True):
+            ids, many = words.spelled(z)
+            assert ids.tolist() == M.spell(M.TOKENIZER, M.words_of(t)).tolist() and many.sum() == len(ids)
+    assert sorted(asked) == sorted({w for t in texts for w in M.words_of(t)})
+    rows = [(i, t) for i, t in enumerate([b"x" * 30, None, b"", b"y" * 5] * 7)]
+    parts = list(M.by_bytes(iter(rows), 40, 3))
+    assert sum(parts, []) == rows and all(p and len(p) <= 3 and sum(len(t or b"") for _, t in p[:-1]) <= 40 for p in parts)
+    assert M.head_counts(np.array([-5, 2, 9]), np.array([1, 2, 3]), np.array([9, 3, -5, 10])).tolist()[::2] == [3, 1] and np.isnan(M.head_counts(np.array([]), np.array([]), np.array([1]))).all()
+
+
+def test_steps_do_not_ask_for_new_memory():
+    code = """
+import resource
+import numpy as np
+from pagewright.llm import attention as A
+texts = [np.random.default_rng(i).integers(2, 1000, 300) for i in range(20)]
+A.train(texts, steps=5)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+A.train(texts, steps=45)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 45)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(A.__file__).parents[2])
+    assert float(out.stdout) < 100
