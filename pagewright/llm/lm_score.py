@@ -41,8 +41,8 @@ SAMPLE_DOCS, SAMPLE_SYMBOLS = 2_000, 3_000_000
 RATE, BATCH = 0.001, 192
 #: Symbols whose windows are laid at a time.
 ROUND = 300_000
-#: Words that a task keeps the spelling of, and bytes of text spelled and scored at a time (or one text, if longer).
-KEPT, BYTES = 400_000, 500_000
+#: Words that a task keeps the spelling of, and their bytes; bytes of text spelled and scored at a time (or one text, if longer).
+KEPT, KEPT_BYTES, BYTES = 400_000, 16_000_000, 500_000
 #: Share of a word's probability that the counts give; its spelling gives the rest.
 COUNTED = 0.5
 #: Above every size class of a count.
@@ -114,6 +114,10 @@ class Words:
 
         self.number, self.new = Number(), new
         self.ids, self.starts, self.many = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.bytes = 0
+
+    def full(self) -> bool:
+        return len(self.number) > KEPT or self.bytes > KEPT_BYTES
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
@@ -122,6 +126,7 @@ class Words:
         """Spells the words that came since the last call, and returns them."""
         new = self.new[:]
         self.new.clear()
+        self.bytes += sum(map(len, new))
         ids, starts = spell_each(self.path, new)
         self.starts = np.append(self.starts, starts + len(self.ids))
         self.many = np.append(self.many, np.diff(np.append(starts, len(ids))))
@@ -244,7 +249,7 @@ def go_on(train: DataFrame, model: attention.Params, path: str, symbol: np.ndarr
         def texts() -> Iterator[np.ndarray]:
             words = Words(path)
             for part in by_bytes(rows):
-                if len(words.number) > KEPT:
+                if words.full():
                     words.clear()
                 numbers = [words.numbers(words_of(raw)) for (raw,) in part]
                 words.learn()
@@ -315,7 +320,7 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZER, mod: int = 7, held: int =
         words = Words(path)
         known, hashes = np.zeros(0), np.zeros(0, dtype=np.int64)
         for part in by_bytes(rows):
-            if len(words.number) > KEPT:
+            if words.full():
                 words.clear()
                 known, hashes = known[:0], hashes[:0]
             numbers = [words.numbers(words_of(raw)) for *_, raw in part]

@@ -426,6 +426,11 @@ def test_a_word_of_many_texts_is_spelled_once(monkeypatch):
             ids, many = words.spelled(z)
             assert ids.tolist() == M.spell(M.TOKENIZER, M.words_of(t)).tolist() and many.sum() == len(ids)
     assert sorted(asked) == sorted({w for t in texts for w in M.words_of(t)})
+    assert not words.full()
+    words.numbers([b"z" * (M.KEPT_BYTES + 1)])
+    monkeypatch.setattr(M, "spell_each", lambda path, new: (np.zeros(len(new), dtype=np.int64), np.arange(len(new))))
+    words.learn()
+    assert words.full()  # long words count by their bytes
     rows = [(i, t) for i, t in enumerate([b"x" * 30, None, b"", b"y" * 5] * 7)]
     parts = list(M.by_bytes(iter(rows), 40, 3))
     assert sum(parts, []) == rows and all(p and len(p) <= 3 and sum(len(t or b"") for _, t in p[:-1]) <= 40 for p in parts)
