@@ -100,14 +100,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back.
+def materialize(df: DataFrame, name: str, options: dict[str, int] | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet, with the writer's ``options``, into the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs only unread files' readers, never the work before.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
