@@ -14,13 +14,14 @@ from __future__ import annotations
 import base64
 import math
 import os
+from collections import Counter
 from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
@@ -135,7 +136,7 @@ class Words:
     def spelled(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Subword ids of the words of these numbers, all of them learned, and how many each has."""
         many = self.many[numbers]
-        return laid(self.ids, self.starts[numbers], many), many
+        return self.ids[np.arange(many.sum()) + np.repeat(self.starts[numbers] - (np.cumsum(many) - many), many)], many
 
 
 def by_bytes(rows: Iterator[tuple], most: int = BYTES, rows_most: int = 2000) -> Iterator[list[tuple]]:
@@ -156,109 +157,37 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return raw.lower().split() if raw else []
 
 
-def laid(ids: np.ndarray, starts: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """The ``many`` values of ``ids`` from each of ``starts`` on, one run after the other."""
-    return ids[np.arange(many.sum()) + np.repeat(starts - (np.cumsum(many) - many), many)]
-
-
-def narrow(values: np.ndarray) -> bytes:
-    """Numbers from zero on in as few bytes each as the largest needs; the first byte tells how many."""
-    most = int(values.max()) if len(values) else 0
-    size = next(k for k in (1, 2, 4, 8) if most < 1 << 8 * k)
-    return bytes([size]) + values.astype(f"u{size}").tobytes()
-
-
-def widen(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=f"u{raw[0]}", offset=1).astype(np.int64)
-
-
-#: A block of documents: row, doc_id, whether it is learned from, whether the id is null and the number of words of each;
-#: the key, the number of subword ids and these ids of each different word; the place among these of each word.
-BLOCK = "docs binary, keys binary, many binary, ids binary, words binary"
-
-
-def encoded(docs: DataFrame, path: str, train: Column | None = None) -> DataFrame:
-    """All ``docs``, learned from where ``train``, as rows of BLOCK: words cut, hashed and spelled once for all that follows."""
-
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        words = Words(path)
-        hashes = np.zeros(0, dtype=np.int64)
-        for part in by_bytes(rows):
-            if words.full():
-                words.clear()
-                hashes = hashes[:0]
-            numbers = [words.numbers(words_of(raw)) for *_, raw in part]
-            hashes = np.append(hashes, word_keys(words.learn()))
-            known = np.array([(row, doc_id or 0, learned, doc_id is None, len(z)) for (row, doc_id, learned, _), z in zip(part, numbers, strict=True)], dtype=np.int64)
-            numbers = np.concatenate(numbers)
-            times = np.bincount(numbers, minlength=len(hashes))
-            used = np.flatnonzero(times)
-            place = np.zeros(len(hashes), dtype=np.int64)
-            place[used] = np.arange(len(used))
-            ids, many = words.spelled(used)
-            yield known.tobytes(), hashes[used].tobytes(), narrow(many), narrow(ids), narrow(place[numbers])
-
-    picked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.lit(True) if train is None else train, "text")
-    return map_rows(picked, run, BLOCK, binary=("text",))
-
-
-def blocks_of(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` themselves where they are blocks already, else learned from whole."""
-    return docs if docs.columns == [z.split()[0] for z in BLOCK.split(", ")] else encoded(docs, path)
-
-
-class Block:
-    """The arrays of a row of BLOCK."""
-
-    def __init__(self, docs: bytes, keys: bytes, many: bytes, ids: bytes, words: bytes):
-        self.row, self.doc_id, learned, null, self.tokens = np.frombuffer(docs, dtype=np.int64).reshape(-1, 5).T
-        self.learned, self.null = learned > 0, null > 0
-        self.keys = np.frombuffer(keys, dtype=np.int64)
-        self.many, self.ids, self.words = widen(many), widen(ids), widen(words)
-        self.starts = np.cumsum(self.many) - self.many
-
-
 def count_words(docs: DataFrame, path: str) -> DataFrame:
-    """(sub, key, c): counts of the words of all ``docs`` (or of blocks' documents to learn from), of the ends of texts and, where ``sub``, of their subword ids."""
+    """(sub, key, c): counts of the words of all ``docs`` and of the ends of texts and, where ``sub``, of their subword ids."""
 
     arrow = pa.schema([("sub", pa.bool_()), ("key", pa.int64()), ("c", pa.int64())])
 
-    def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = (np.concatenate(z) for z in zip(*found, strict=True))
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-        return keys[first], np.add.reduceat(values[order], first) if len(first) else values
-
-    def flush(keys: np.ndarray, values: np.ndarray, times: np.ndarray, ends: int) -> pa.RecordBatch:
+    def flush(counts: Counter, ends: int) -> pa.RecordBatch:
+        n = len(counts)
+        keys = word_keys(counts)
+        values = np.fromiter(counts.values(), dtype=np.int64, count=n)
+        ids, starts = spell_each(path, list(counts))  # each different word once
+        times = np.bincount(ids, weights=np.repeat(values, np.diff(np.append(starts, len(ids))))).astype(np.int64)
         used = np.flatnonzero(times)
-        sub = np.arange(len(keys) + 1 + len(used)) > len(keys)
+        sub = np.arange(n + 1 + len(used)) > n
         return pa.RecordBatch.from_arrays([pa.array(sub), pa.array(np.concatenate([keys, [END_KEY], used])), pa.array(np.concatenate([values, [ends], times[used]]))], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        size = ends = 0
-        times = np.zeros(len(opening(path)), dtype=np.int64)
+        counts: Counter = Counter()
+        ends = 0
         for batch in batches:
-            for at in range(batch.num_rows):
-                block = Block(*(z[at].as_py() for z in batch.columns))
-                ends += int(block.learned.sum())
-                c = np.bincount(block.words[np.repeat(block.learned, block.tokens)], minlength=len(block.keys))
-                times += np.bincount(block.ids, weights=np.repeat(c, block.many), minlength=len(times)).astype(np.int64)
-                used = np.flatnonzero(c)
-                found.append((block.keys[used], c[used]))
-                size += len(used)
-                if size > 1_000_000:
-                    found = [merged(found)]
-                    size = len(found[0][0])
-                    if size > 400_000:
-                        yield flush(*found[0], times, ends)
-                        found, size, ends = [], 0, 0
-                        times[:] = 0
+            for at in range(0, batch.num_rows, 256):
+                for raw in as_bytes(batch.slice(at, 256).column(0)).to_pylist():
+                    ends += 1
+                    counts.update(words_of(raw))
+                if len(counts) > 400_000:
+                    yield flush(counts, ends)
+                    counts.clear()
+                    ends = 0
         if ends:
-            yield flush(*merged(found), times, ends)
+            yield flush(counts, ends)
 
-    parts = blocks_of(docs, path).mapInArrow(run, "sub boolean, key long, c long")
+    parts = docs.select("text").mapInArrow(run, "sub boolean, key long, c long")
     return parts.groupBy("sub", "key").agg(F.sum("c").alias("c"))
 
 
@@ -299,7 +228,7 @@ def fit(train: DataFrame, path: str, symbol: np.ndarray, sample_docs: int = SAMP
 def go_on(train: DataFrame, model: attention.Params, path: str, symbol: np.ndarray) -> attention.Params:
     """The mean of the models that all partitions of ``train`` reach from ``model``, weighted by their windows.
 
-    ``train`` holds documents, or blocks, of which those to learn from count. Every symbol of each is learned once. Windows of ROUND symbols are laid at a time and dealt over the
+    Every symbol of every document is learned once. Windows of ROUND symbols are laid at a time and dealt over the
     steps, so that a step's windows come from many documents.
     """
     shared = train.sparkSession.sparkContext.broadcast((attention.pack(model), symbol.astype(np.int16)))  # of fixed size
@@ -318,14 +247,15 @@ def go_on(train: DataFrame, model: attention.Params, path: str, symbol: np.ndarr
             return len(x)
 
         def texts() -> Iterator[np.ndarray]:
-            for row in rows:
-                block = Block(*row)
-                symbols, learned = symbol[block.ids], np.repeat(block.learned, block.tokens)
-                many = block.many[block.words]
-                stop = np.append(0, np.cumsum(many * learned))[np.cumsum(block.tokens)[block.learned]]
-                many = many[learned]
-                if len(stop):
-                    yield from np.split(laid(symbols, block.starts[block.words[learned]], many), stop[:-1])
+            words = Words(path)
+            for part in by_bytes(rows):
+                if words.full():
+                    words.clear()
+                numbers = [words.numbers(words_of(raw)) for (raw,) in part]
+                words.learn()
+                ids, many = words.spelled(np.concatenate(numbers))
+                stop = np.append(0, np.cumsum(many))[np.cumsum([len(z) for z in numbers])]
+                yield from np.split(symbol[ids], stop[:-1])
 
         waiting, size = [], 0
         for text in texts():
@@ -342,7 +272,7 @@ def go_on(train: DataFrame, model: attention.Params, path: str, symbol: np.ndarr
             yield seen, attention.pack(adam.p).astype(np.float32).tobytes()
 
     total, n = np.zeros(len(attention.pack(model))), 0
-    models = materialize(map_rows(blocks_of(train, path), run, "n long, p binary"), "models")  # all partitions at once
+    models = materialize(map_rows(train.select("text"), run, "n long, p binary", binary=("text",)), "models")  # all partitions at once
     for r in models.toLocalIterator():
         total += r["n"] * np.frombuffer(r["p"], dtype=np.float32).astype(np.float64)
         n += r["n"]
@@ -357,11 +287,8 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZER, mod: int = 7, held: int =
     from and scored each; other columns are ignored. With no training document every word is unknown.
     """
     rest = crc_mod("doc_id", mod)
-    in_train = (rest != held) & (rest >= 0)
-    train = docs.where(in_train)
-    # of many small rows a row group would hold 128 MB, which readers hold at once
-    blocks = materialize(encoded(docs, path, in_train), "blocks", {"parquet.block.size": 32 << 20})
-    both = materialize(count_words(blocks, path), "counts")
+    train = docs.where((rest != held) & (rest >= 0))
+    both = materialize(count_words(train, path), "counts")
     counts = both.where("not sub").select("key", "c")
     times = np.zeros(len(opening(path)), dtype=np.int64)
     for r in both.where("sub").toLocalIterator():  # one row a subword id
@@ -379,7 +306,7 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZER, mod: int = 7, held: int =
     rows = counts.where(size_of >= least).toPandas()  # at most head
     keys, values = rows["key"].to_numpy(dtype=np.int64), rows["c"].to_numpy(dtype=np.int64)
     order = np.argsort(keys)
-    model = go_on(blocks, fit(train, path, symbol), path, symbol)
+    model = go_on(train, fit(train, path, symbol), path, symbol)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((keys[order], values[order], model, symbol, share))  # bounded by head
     whole = len(values) == v
@@ -390,13 +317,20 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZER, mod: int = 7, held: int =
         attention.keep_memory()
         keys, values, model, symbol, share = shared.value
         end = at_end(keys, values)
-        for raw in rows:
-            block = Block(*raw)
-            known = head_counts(keys, values, block.keys)
-            tokens = block.tokens + 1  # with the ends
+        words = Words(path)
+        known, hashes = np.zeros(0), np.zeros(0, dtype=np.int64)
+        for part in by_bytes(rows):
+            if words.full():
+                words.clear()
+                known, hashes = known[:0], hashes[:0]
+            numbers = [words.numbers(words_of(raw)) for *_, raw in part]
+            new = word_keys(words.learn())
+            hashes = np.append(hashes, new)
+            known = np.append(known, head_counts(keys, values, new))
+            tokens = np.array([len(z) + 1 for z in numbers])  # with the ends
             last = np.cumsum(tokens) - 1
-            numbers, many = block.words, block.many[block.words]
-            ids = laid(block.ids, block.starts[numbers], many)
+            numbers = np.concatenate(numbers)
+            ids, many = words.spelled(numbers)
             worded = np.ones(tokens.sum(), dtype=bool)
             worded[last] = False
             length = np.ones(len(worded), dtype=np.int64)
@@ -419,10 +353,10 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZER, mod: int = 7, held: int =
             far = np.zeros(0, dtype=np.int64) if whole else np.flatnonzero(unknown)
             cuts = np.searchsorted(far, last).tolist()
             number = np.cumsum(worded) - 1
-            far_keys, far_spelled = block.keys[numbers[number[far]]], spelled[far].astype(np.float32)
+            far_keys, far_spelled = hashes[numbers[number[far]]], spelled[far].astype(np.float32)
             at = 0
-            for row, doc_id, null, t, k, z, stop, value in zip(block.row.tolist(), block.doc_id.tolist(), block.null.tolist(), tokens.tolist(), n_known, base, cuts, score, strict=True):
-                yield row, None if null else doc_id, t, k, z, far_keys[at:stop], far_spelled[at:stop], value
+            for (row, doc_id, _), t, k, z, stop, value in zip(part, tokens.tolist(), n_known, base, cuts, score, strict=True):
+                yield row, doc_id, t, k, z, far_keys[at:stop], far_spelled[at:stop], value
                 at = stop
 
     def at_end(keys: np.ndarray, values: np.ndarray) -> int:
@@ -432,8 +366,9 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZER, mod: int = 7, held: int =
     if not (len(keys) and keys[order][0] == END_KEY):
         found = counts.where(F.col("key") == END_KEY).first()
         ends = found["c"] if found else 0
+    picked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, keys array<long>, spelled array<float>, score double"
-    first = materialize(map_rows(blocks, run, schema), "scored")
+    first = materialize(map_rows(picked, run, schema, binary=("text",)), "scored")
     far = first.where(F.size("keys") > 0).select("row", F.explode(F.arrays_zip("keys", "spelled")).alias("f")).select("row", F.col("f.keys").alias("key"), F.col("f.spelled").cast("double").alias("s"))
     rare = counts.where(size_of < least)
     mixed = F.log((1 - COUNTED) * F.exp("s") + COUNTED * F.col("c") / F.lit(float(max(1, n)))) - F.col("s") - math.log(1 - COUNTED)
