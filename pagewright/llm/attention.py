@@ -15,6 +15,8 @@ SYMBOLS = SIDE * SIDE
 END, OTHER = 0, 1
 #: Windows whose gradients are found at a time, so that their arrays stay in the cache.
 PART = 96
+#: Rows multiplied at a time.
+BLOCK = 192
 
 Params = dict[str, np.ndarray]
 
@@ -51,6 +53,24 @@ def keep_memory() -> None:
     np.empty(31 << 20, dtype=np.uint8)
 
 
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a [n, k] @ b [k, m] by BLOCK rows, which for so few columns takes less time than one call (OpenBLAS likely packs larger arrays first)."""
+    n, b = len(a), np.ascontiguousarray(b)
+    whole = n - n % BLOCK
+    out = np.empty((n, b.shape[1]), dtype=a.dtype)
+    np.matmul(a[:whole].reshape(-1, BLOCK, a.shape[1]), b, out=out[:whole].reshape(-1, BLOCK, b.shape[1]))
+    if whole < n:
+        np.matmul(a[whole:], b, out=out[whole:])
+    return out
+
+
+def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a [n, k].T @ b [n, m], by BLOCK rows too."""
+    whole = len(a) - len(a) % BLOCK
+    out = (a[:whole].reshape(-1, BLOCK, a.shape[1]).transpose(0, 2, 1) @ b[:whole].reshape(-1, BLOCK, b.shape[1])).sum(axis=0)
+    return out + a[whole:].T @ b[whole:] if whole < len(a) else out
+
+
 def projections(p: Params) -> tuple[np.ndarray, ...]:
     """What gives queries, with their scale, keys and values."""
     q, k, v = (p["qkv"][:, at : at + WIDTH] for at in range(0, 3 * WIDTH, WIDTH))
@@ -80,10 +100,10 @@ def states(p: Params, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
     o *= r
     h = o.reshape(-1, WIDTH) @ p["mix"]
     h += x0.reshape(-1, WIDTH)
-    u = h @ p["up"]
+    u = product(h, p["up"])
     u += p["up0"]
     np.maximum(u, 0, out=u)
-    out = u @ p["down"]
+    out = product(u, p["down"])
     out += h
     if keep is not None:
         keep.update(x0=x0, q=q, k=k, v=v, a=a, r=r, o=o, h=h, u=u)
@@ -92,7 +112,7 @@ def states(p: Params, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
 
 def logits(p: Params, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the groups after the states h [n, WIDTH], and of the symbols of the groups g [n]."""
-    a, b = h @ p["group"], h @ p["inner"]
+    a, b = product(h, p["group"]), product(h, p["inner"])
     a += p["group0"]
     b += np.take(p["inner0"], g, axis=0)
     return a, b
@@ -114,8 +134,8 @@ def log_probs(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients(p: Params, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, Params]:
-    """Mean loss over the targets y [batch, WINDOW] of weight w, and its gradients."""
+def gradients(p: Params, x: np.ndarray, y: np.ndarray, w: np.ndarray, need_loss: bool = True) -> tuple[float, Params]:
+    """Mean loss over the targets y [batch, WINDOW] of weight w, unless not needed, and its gradients."""
     s: dict = {}
     n = len(x)
     f = states(p, x, s).reshape(-1, WIDTH)
@@ -123,7 +143,7 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[f
     g, i = yy >> 5, yy & 31
     at = np.arange(0, len(yy) * SIDE, SIDE)
     d: Params = {}
-    loss, df = 0.0, 0
+    loss, df = 0.0, np.zeros_like(f)
     for name, c, own in zip(("group", "inner"), logits(p, f, g), (g, i), strict=True):
         np.exp(c, out=c)
         sums = c @ ONES
@@ -131,17 +151,18 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[f
             c = softmax(logits(p, f, g)[name == "inner"])
             sums = np.ones_like(sums)
         flat = c.reshape(-1)
-        loss -= float((ww * np.log(flat[at + own] / sums + 1e-12)).sum())
+        if need_loss:
+            loss -= float((ww * np.log(flat[at + own] / sums + 1e-12)).sum())
         c *= (ww / sums)[:, None]
         flat[at + own] -= ww
-        d[name] = f.T @ c
-        d[name + "0"] = ONES[:1].repeat(len(c)) @ c if name == "group" else np.take(GROUPS, g, axis=0).T @ c
-        df = c @ p[name].T + df
-    d["down"] = s["u"].T @ df
-    du = df @ p["down"].T
+        d[name] = cross(f, c)
+        d[name + "0"] = ONES[:1].repeat(len(c)) @ c if name == "group" else cross(np.take(GROUPS, g, axis=0), c)
+        df += product(c, p[name].T)
+    d["down"] = cross(s["u"], df)
+    du = product(df, p["down"].T)
     du *= s["u"] > 0
-    d["up"], d["up0"] = s["h"].T @ du, ONES[:1].repeat(len(du)) @ du
-    dh = du @ p["up"].T
+    d["up"], d["up0"] = cross(s["h"], du), ONES[:1].repeat(len(du)) @ du
+    dh = product(du, p["up"].T)
     dh += df
     d["mix"] = s["o"].reshape(-1, WIDTH).T @ dh
     do = (dh @ p["mix"].T).reshape(n, WINDOW, WIDTH)
@@ -155,9 +176,9 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[f
     np.matmul(ds.transpose(0, 2, 1), s["q"], out=dqkv[..., WIDTH : 2 * WIDTH])
     np.matmul(s["a"].transpose(0, 2, 1), do, out=dqkv[..., 2 * WIDTH :])
     dqkv = dqkv.reshape(-1, 3 * WIDTH)
-    d["qkv"] = s["x0"].reshape(-1, WIDTH).T @ dqkv
+    d["qkv"] = cross(s["x0"].reshape(-1, WIDTH), dqkv)
     d["qkv"][:, :WIDTH] *= SCALE
-    dx = dqkv @ np.concatenate(projections(p), axis=1).T
+    dx = product(dqkv, np.concatenate(projections(p), axis=1).T)
     dx += dh
     d["pos"] = dx.reshape(n, WINDOW, WIDTH).sum(0)
     d["emb"] = np.zeros_like(p["emb"])
@@ -230,7 +251,7 @@ class Adam:
         for at in range(0, len(x), PART):
             part = slice(at, at + PART)
             if own := w[part].sum():
-                d += np.float32(own / w.sum()) * pack(gradients(self.p, x[part], y[part], w[part])[1])
+                d += np.float32(own / w.sum()) * pack(gradients(self.p, x[part], y[part], w[part], False)[1])
         m, v = self.moments
         m += np.float32(0.1) * (d - m)
         v += np.float32(0.01) * (d * d - v)
@@ -252,16 +273,16 @@ def unpack(flat: np.ndarray) -> Params:
 
 
 def tables(p: Params) -> tuple[np.ndarray, ...]:
-    """Rows of each symbol: its query beside its embedding, and its key beside its mixed value and a one; then what each place adds to them.
+    """Rows of each symbol: its query beside its embedding, and its key beside its mixed value; then what each place adds to them.
 
     The layer is linear up to here, so the sums are the rows of a symbol at a place, and the tables stay small.
     """
 
-    def rows(own: np.ndarray, one: float) -> tuple[np.ndarray, np.ndarray]:
+    def rows(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         q, k, v = np.split(own @ p["qkv"], 3, axis=1)
-        return np.concatenate([q * np.float32(WIDTH**-0.5), own], axis=1), np.concatenate([k, v @ p["mix"], np.full((len(own), 1), one, dtype=np.float32)], axis=1)
+        return np.concatenate([q * np.float32(WIDTH**-0.5), own], axis=1), np.concatenate([k, v @ p["mix"]], axis=1)
 
-    return *rows(p["emb"], 1), *rows(p["pos"], 0)
+    return *rows(p["emb"]), *rows(p["pos"])
 
 
 def last_states(p: Params, own: tuple[np.ndarray, ...], x: np.ndarray, start: int) -> np.ndarray:
@@ -271,21 +292,22 @@ def last_states(p: Params, own: tuple[np.ndarray, ...], x: np.ndarray, start: in
     qe += late_place[start:]
     kv += early_place
     a = qe[..., :WIDTH] @ kv[..., :WIDTH].transpose(0, 2, 1)
-    a[..., start:] += MASK[start:, start:]  # all places before start precede
+    a += MASK[start:]
     np.exp(a, out=a)
-    o = a @ kv[..., WIDTH:]  # the column of ones gives the weights' sums
-    h = o[..., :WIDTH] / o[..., WIDTH:]
+    h = a @ kv[..., WIDTH:]
+    with np.errstate(all="ignore"):
+        h *= (1 / (a.reshape(-1, WINDOW) @ ONES[:WINDOW])).reshape(len(x), -1, 1)
     h += qe[..., WIDTH:]
     if not np.isfinite(h).all():  # scores far from what training leaves
         return states(p, x, {})[:, start:]
     h = h.reshape(-1, WIDTH)
-    u = h @ p["up"]
+    u = product(h, p["up"])
     u += p["up0"]
-    h += np.maximum(u, 0, out=u) @ p["down"]
+    h += product(np.maximum(u, 0, out=u), p["down"])
     return h.reshape(len(x), -1, WIDTH)
 
 
-def symbol_scores(p: Params, texts: list[np.ndarray], most: int = 256) -> list[np.ndarray]:
+def symbol_scores(p: Params, texts: list[np.ndarray], most: int = 192) -> list[np.ndarray]:
     """Natural log probability of each symbol of each text, windows of many texts batched together."""
     if not texts:
         return []
@@ -294,15 +316,20 @@ def symbol_scores(p: Params, texts: list[np.ndarray], most: int = 256) -> list[n
     begin = np.cumsum(many) - many
     out = np.zeros(int(many.sum()))
     own = tables(p)
-    for which, start in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), WINDOW - STRIDE)):
+    full = many == np.where(first, WINDOW, STRIDE)  # windows whose places from start on are all scored
+    for which, start in ((first & full, 0), (first & ~full, 0), (~first & full, WINDOW - STRIDE), (~first & ~full, WINDOW - STRIDE)):
+        which = np.flatnonzero(which)
         for at in range(0, len(which), most):
             part = which[at : at + most]
-            h = last_states(p, own, x[part], start)
-            take = w[part, start:]
-            out[(begin[part, None] + np.arange(WINDOW - start))[take]] = log_probs(p, h[take], y[part, start:][take])
+            h, to, places = last_states(p, own, x[part], start), y[part, start:], begin[part, None] + np.arange(WINDOW - start)
+            if full[part[0]]:
+                out[places] = log_probs(p, h.reshape(-1, WIDTH), to.reshape(-1)).reshape(to.shape)
+            else:
+                take = w[part, start:]
+                out[places[take]] = log_probs(p, h[take], to[take])
     return np.split(out, np.cumsum([len(t) for t in texts[:-1]]))
 
 
-def score(p: Params, texts: list[np.ndarray], most: int = 256) -> list[float]:
+def score(p: Params, texts: list[np.ndarray], most: int = 192) -> list[float]:
     """Natural log probability of each text."""
     return [float(z.sum()) for z in symbol_scores(p, texts, most)]

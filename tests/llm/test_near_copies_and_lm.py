@@ -450,3 +450,26 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 45)
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(A.__file__).parents[2])
     assert float(out.stdout) < 100
+
+
+def test_products_by_blocks_are_products():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, A.BLOCK - 1, A.BLOCK, A.BLOCK + 1, 5 * A.BLOCK + 7):
+        a, b, c = rng.standard_normal((n, 16)), rng.standard_normal((32, 16)), rng.standard_normal((n, 48))
+        assert np.allclose(A.product(a, b.T), a @ b.T)
+        assert np.allclose(A.cross(a, c), a.T @ c) and A.cross(a, c).shape == (16, 48)
+    p, x = A.fresh(4), rng.integers(0, A.SYMBOLS, (A.PART, A.WINDOW))
+    y, w = rng.integers(0, A.SYMBOLS, x.shape), np.ones(x.shape)
+    assert A.gradients(p, x, y, w)[0] > 0 == A.gradients(p, x, y, w, False)[0]
+    exact = A.gradients({k: v.astype(np.float64) for k, v in p.items()}, x, y, w)[1]
+    for k, v in A.gradients(p, x, y, w, False)[1].items():
+        assert np.abs(v - exact[k]).max() < 1e-4 * np.abs(exact[k]).max(), k
+
+
+def test_windows_of_all_lengths_are_scored_in_place():
+    p = A.fresh(5)
+    texts = [np.random.default_rng(n).integers(0, A.SYMBOLS, n) for n in (1, 12, 23, 24, 25, 36, 37, 48, 60, 500)] * 3
+    for most in (1, 7, 192):
+        for t, got in zip(texts, A.symbol_scores(p, texts, most), strict=True):
+            x, y, w = A.windows(t)
+            assert np.allclose(got, A.log_probs(p, A.states(p, x)[w], y[w]), rtol=1e-4)
